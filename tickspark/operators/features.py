@@ -140,7 +140,7 @@ def _null(type_: str) -> Column:
 def _piece(segment: Column, order: dict[str, Column] | None, bar: tuple[Column, Column] | None) -> list[Column]:
     """The common row of all pieces: order measures, bar measures, either of which may be absent."""
     order = order or {}
-    columns = [GROUP_COL, EVENT_COL, F.col("symbol"), segment.alias("segment")]
+    columns = [F.col(GROUP), F.col(EVENT_TIME), F.col("symbol"), segment.alias("segment")]
     for name in ("n", "n_long"):
         columns.append(order.get(name, _null("bigint")).alias(name))
     for name in [*_ORDER_SUMS[2:], "quote_min", "quote_max", "previous_price", "close_price"]:
@@ -151,9 +151,6 @@ def _piece(segment: Column, order: dict[str, Column] | None, bar: tuple[Column,
     return [*columns, bar_return.alias("bar_return"), bar_quote.alias("bar_quote")]
 
 
-GROUP_COL, EVENT_COL = F.col(GROUP), F.col(EVENT_TIME)
-
-
 def slice_pieces(orders: DataFrame, events: DataFrame, windows: FeatureWindows) -> DataFrame:
     """Every (event, symbol)'s orders and bars as few rows as the window bounds allow.
 

@@ -305,18 +305,21 @@ def preprocess(
     variant: str = "default",
     success_column: str = "target_return@1MIN",
     rank_column: str = "target_return@5MIN",
+    worst_rank: int = 10,
+    events: DataFrame | None = None,
 ) -> DataFrame:
     """Group ids, failed-event removal, tail clipping and standardisation, per model family.
 
     ``logistic`` fills NULLs before standardising, ``oversampled`` after it; ``ranker`` adds the
-    percentile rank of ``rank_column`` as ``asset_return_rank``.
+    percentile rank of ``rank_column`` as ``asset_return_rank``. Every step joins group statistics back
+    to the panel, so pass a stored panel (see ``sources.panel_store``) and not a feature plan.
     """
     if variant not in ("default", "logistic", "oversampled", "ranker"):
         raise ValueError(f"unknown variant {variant!r}")
     slugs = list(slugs)
     check_columns(panel, [*regressor_columns(slugs), LABEL, GROUP, EVENT_TIME])
-    df = add_group_id(panel)
-    df = clip_tail_exponents(remove_failed_events(df, success_column), slugs)
+    df = add_group_id(panel, events)
+    df = clip_tail_exponents(remove_failed_events(df, success_column, worst_rank), slugs)
     if variant == "logistic":
         df = fill_with_medians(df, regressor_columns(slugs))
     df = standardise(df, standardised_columns(slugs))

@@ -159,7 +159,7 @@ def exact_percentiles(
     spots = (
         joined.withColumn("_zone", zone)
         .groupBy(*keys, "i", "p", "_n", "_zone", F.when(F.col("_zone") == 1, F.col("_v")).alias("_mid"))
-        .agg(F.count("*").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        .agg(F.count("*").alias("_rows"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
         # Below the bracket its last value matters, above it the first one.
         .withColumn("_at", F.when(F.col("_zone") == 0, F.col("_max")).otherwise(F.col("_min")))
     )
@@ -168,9 +168,9 @@ def exact_percentiles(
     )
     rank = F.col("p") * (F.col("_n") - 1)
     low, high = F.floor(rank) + 1, F.ceil(rank) + 1
-    ranked = spots.withColumns({"_upto": F.sum("_c").over(upto), "_low": low, "_high": high, "_part": rank - F.floor(rank)})
+    ranked = spots.withColumns({"_upto": F.sum("_rows").over(upto), "_low": low, "_high": high, "_part": rank - F.floor(rank)})
     ends_at = F.col("_upto")
-    starts_after = F.col("_upto") - F.col("_c")
+    starts_after = F.col("_upto") - F.col("_rows")
     covers = lambda r: (starts_after < F.col(r)) & (F.col(r) <= ends_at)
     picked = ranked.groupBy(*keys, "i").agg(
         F.max(F.when(covers("_low"), F.col("_at"))).alias("_a"),

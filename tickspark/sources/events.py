@@ -11,9 +11,10 @@ from tickspark.names import EVENT_TIME, GROUP, TARGET
 _TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of {symbol, time, exchange} as events."""
-    return parse_labels(spark.read.schema("symbol STRING, time STRING, exchange STRING").json(path, multiLine=True))
+def read_labels(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON array of {symbol, time, exchange}, or one object per line with ``lines``, as events."""
+    schema = "symbol STRING, time STRING, exchange STRING"
+    return parse_labels(spark.read.schema(schema).json(path, multiLine=not lines))
 
 
 def parse_labels(raw: DataFrame) -> DataFrame:

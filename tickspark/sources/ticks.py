@@ -61,9 +61,15 @@ def parse_archives(archives: DataFrame, names: Sequence[str] = tuple(SPOT_TRADE_
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     for member in archive.namelist():
                         with archive.open(member) as stream:
-                            for chunk in pd.read_csv(
-                                stream, header=None, names=names, usecols=wanted, chunksize=_CHUNK_ROWS
-                            ):
+                            chunks = pd.read_csv(
+                                stream,
+                                header=None,
+                                names=names,
+                                usecols=wanted,
+                                chunksize=_CHUNK_ROWS,
+                                float_precision="round_trip",
+                            )
+                            for chunk in chunks:
                                 chunk = chunk.rename(columns={"trade_time": "raw_time"}).assign(path=path)
                                 yield chunk[RAW_SCHEMA.names]
 
