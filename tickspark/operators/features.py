@@ -33,7 +33,7 @@ from tickspark.names import (
     TARGET,
     feature_column,
 )
-from tickspark.operators.orders import hourly_orders, previous_hour_tail, with_previous_in_hour
+from tickspark.operators.orders import hourly_orders, with_previous_in_hour
 
 
 @dataclass(frozen=True)
@@ -161,35 +161,39 @@ def slice_pieces(orders: DataFrame, events: DataFrame, windows: FeatureWindows)
     visible = (F.col("previous_time") >= F.col("slice_start"), F.col("previous_price"))
     previous = F.when(*visible)
 
-    # Whole hours: all hours of the dates the slice touches.
+    # All hours of the dates the slice touches. An edge hour appears twice: once for its bar, and once
+    # for the lag of its first order, which the raw orders below cannot see.
     dated = cut.withColumn("date", F.explode(days_between(F.col("slice_start"), F.col("slice_stop"))))
     hourly = hourly_partials(orders).withColumn("date", F.to_date("hour"))
-    hours = hourly.join(dated, "date")
+    is_edge = F.array_contains("edge_hours", F.col("hour"))
+    roles = F.when(is_edge, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
+    hours = hourly.join(dated, "date").withColumn("_role", F.explode(roles))
     inside = (F.col("hour") > F.col("slice_hours")[0]) & (F.col("hour") < F.element_at("slice_hours", -1))
-    whole = inside & ~F.array_contains("edge_hours", F.col("hour"))
+    whole = inside & (F.col("_role") == 0)
+    head = (F.col("_role") == 2) & F.col("first_time").between(F.col("slice_start"), F.col("slice_stop"))
+    barred = inside & (F.col("_role") != 2)
     measures = {name: F.when(whole, F.col(name)) for name in [*_ORDER_SUMS, "quote_min", "quote_max"]}
-    measures |= {name: F.when(whole, F.col(name)) for name in ("close_price", "first_time", "last_time")}
-    measures["previous_price"] = F.when(whole, previous)
-    bar = (F.when(inside, F.col("bar_return")), F.when(inside, F.col("flow_abs")))
-    segment = F.when(inside, _segment(F.col("hour"), windows)).otherwise(F.lit(_BEFORE))
+    measures |= {name: F.when(whole, F.col(name)) for name in ("close_price", "last_time")}
+    measures["first_time"] = F.when(whole | head, F.col("first_time"))
+    measures["previous_price"] = F.when(whole | head, previous)
+    bar = (F.when(barred, F.col("bar_return")), F.when(barred, F.col("flow_abs")))
+    segment = (
+        F.when(head, _segment(F.col("first_time"), windows))
+        .when(inside, _segment(F.col("hour"), windows))
+        .otherwise(F.lit(_BEFORE))
+    )
     from_hours = hours.select(*_piece(segment, measures, bar))
 
-    # Edge hours: raw orders, with the lag carried over from the symbol's previous traded hour.
+    # Edge hours: raw orders. The semi-join reaches the scan, so only those hours are shuffled.
     edges = cut.withColumn("hour", F.explode("edge_hours"))
-    local = with_previous_in_hour(orders).join(edges, "hour")
-    tails = previous_hour_tail(orders)
+    in_edges = orders.join(edges.select("hour").distinct(), "hour", "left_semi")
     raw = (
-        local.where(F.col("trade_time").between(F.col("slice_start"), F.col("slice_stop")))
-        .join(tails, ["symbol", "hour"], "left")
-        .withColumns(
-            {
-                "previous_price": F.when(F.col("trade_time_prev").isNull(), F.col("tail_price_last_prev")).otherwise(
-                    F.col("price_last_prev")
-                ),
-                "previous_time": F.coalesce("trade_time_prev", "tail_trade_time_prev"),
-            }
-        )
+        with_previous_in_hour(in_edges)
+        .join(edges, "hour")
+        .where(F.col("trade_time").between(F.col("slice_start"), F.col("slice_stop")))
+        .withColumns({"previous_price": F.col("price_last_prev"), "previous_time": F.col("trade_time_prev")})
     )
+    follows = F.col("previous_time").isNotNull()
     single = {
         "n": F.lit(1).cast("bigint"),
         "n_long": F.col("is_long").cast("bigint"),
@@ -202,7 +206,7 @@ def slice_pieces(orders: DataFrame, events: DataFrame, windows: FeatureWindows)
         "quote_max": F.col("quote_abs"),
         "previous_price": previous,
         "close_price": F.col("price_last"),
-        "first_time": F.col("trade_time"),
+        "first_time": F.when(follows, F.col("trade_time")),
         "last_time": F.col("trade_time"),
     }
     from_orders = raw.select(*_piece(_segment(F.col("trade_time"), windows), single, None))
@@ -359,5 +363,18 @@ def event_features(
     quote_asset: str | None = "BTC",
 ) -> DataFrame:
     """Feature rows straight from fills; ``quote_asset`` limits the universe to pairs quoted in it."""
+    windows = windows or FeatureWindows()
     universe = ticks if quote_asset is None else ticks.where(F.col("symbol").endswith(f"-{quote_asset}"))
-    return features_from_orders(hourly_orders(universe), events, windows, labels)
+    return features_from_orders(hourly_orders(on_slice_dates(universe, events, windows)), events, windows, labels)
+
+
+def on_slice_dates(ticks: DataFrame, events: DataFrame, windows: FeatureWindows) -> DataFrame:
+    """Fills of the dates that some event's slice touches; prunes partitions of a dated store.
+
+    The broadcast side has one row per calendar date, a few thousand at most.
+    """
+    t = F.col(EVENT_TIME)
+    touched = days_between(t - F.lit(windows.lookback), t + F.lit(windows.horizon))
+    dates = events.select(F.explode(touched).alias("date")).distinct()
+    dated = ticks if "date" in ticks.columns else ticks.withColumn("date", F.to_date("trade_time"))
+    return dated.join(F.broadcast(dates), "date", "left_semi").drop("date")

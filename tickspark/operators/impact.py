@@ -137,7 +137,8 @@ def _fills_near(ticks: DataFrame, legs: DataFrame, regime: ImpactRegime) -> Data
         (t + F.lit(regime.stop)).alias("_to"),
     )
     dated = bounds.withColumn("date", F.explode(days_between(F.col("_from"), F.col("_to"))))
-    near = ticks.withColumn("date", F.to_date("trade_time")).join(dated, ["symbol", "date"])
+    dated_ticks = ticks if "date" in ticks.columns else ticks.withColumn("date", F.to_date("trade_time"))
+    near = dated_ticks.join(dated, ["symbol", "date"])
     return near.where((F.col("trade_time") >= F.col("_from")) & (F.col("trade_time") < F.col("_to")))
 
 
@@ -159,7 +160,10 @@ def event_candles(ticks: DataFrame, legs: DataFrame, regime: ImpactRegime) -> Da
         GROUP, EVENT_TIME, F.col(CANDIDATE).alias("symbol"), start.alias("_from"), stop.alias("_to")
     )
     dated = bounds.withColumn("date", F.explode(days_between(F.col("_from"), F.col("_to"))))
-    shared = trades_to_candles(ticks, duration).withColumn("date", F.to_date("open_time"))
+    # Only the (symbol, date) pairs of some leg are turned into candles.
+    dated_ticks = ticks if "date" in ticks.columns else ticks.withColumn("date", F.to_date("trade_time"))
+    needed = dated_ticks.join(dated.select("symbol", "date").distinct(), ["symbol", "date"], "left_semi").drop("date")
+    shared = trades_to_candles(needed, duration).withColumn("date", F.to_date("open_time"))
     opened = F.col("open_time")
     whole = (
         shared.join(dated, ["symbol", "date"])
@@ -173,7 +177,7 @@ def event_candles(ticks: DataFrame, legs: DataFrame, regime: ImpactRegime) -> Da
         (F.col("open_time") < F.col("_from")) | (F.col("open_time") + slot > F.col("_to"))
     )
     at = F.col("trade_time")
-    slotted = ticks.withColumn("open_time", F.window("trade_time", duration).getField("start"))
+    slotted = needed.withColumn("open_time", F.window("trade_time", duration).getField("start"))
     partial_fills = (
         slotted.join(cut, ["symbol", "open_time"])
         .where((at >= F.col("_from")) & (at < F.col("_to")))

@@ -17,6 +17,7 @@ from tickspark.names import CANDIDATE, EVENT_TIME, GROUP, LABEL, ROUND_TRIP_COST
 from tickspark.operators.asof import leg_prices, quote_to_usdt
 from tickspark.operators.impact import entry_regime, exit_regime, fit_for_events, impacted_price, vwap_impact_bps
 from tickspark.operators.running import bucketed_running_sum, exact_percentiles
+from tickspark.session import materialise
 
 
 @dataclass(frozen=True)
@@ -91,8 +92,13 @@ def leg_pnl() -> Column:
 def quoted_legs(
     portfolio: DataFrame, orders: DataFrame, rates: DataFrame, config: ExecutionConfig, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Entry and exit prices with the quote asset's USDT rate at both times."""
-    legs = leg_prices(portfolio, orders, config.buy_before, config.sell_after, config.price_radius, keys)
+    """Entry and exit prices with the quote asset's USDT rate at both times.
+
+    Prices come from the whole market and are a handful of rows, so they are stored before the two
+    rate lookups read them.
+    """
+    priced = leg_prices(portfolio, orders, config.buy_before, config.sell_after, config.price_radius, keys)
+    legs = materialise(priced, "legs")
     term = term_asset(F.col(CANDIDATE))
     entry = quote_to_usdt(legs, rates, term, "entry_ts", "entry_rate")
     return quote_to_usdt(entry, rates, term, "exit_ts", "exit_rate")
@@ -106,7 +112,7 @@ def impact_models(portfolio: DataFrame, ticks: DataFrame, rates: DataFrame, conf
     """
     legs = portfolio.select(GROUP, EVENT_TIME, TARGET, CANDIDATE).distinct()
     rated = quote_to_usdt(legs, rates, term_asset(F.col(CANDIDATE)), EVENT_TIME, "rate")
-    at_event = rated.select(GROUP, CANDIDATE, "rate")
+    at_event = materialise(rated.select(GROUP, CANDIDATE, "rate"), "event-rates")
     columns = ["beta", "quote_to_usdt", "num_samples"]
     before = fit_for_events(ticks, legs, entry_regime(config.impact_lookback_days), at_event).select(
         GROUP, CANDIDATE, *[F.col(c).alias(f"entry_{c}") for c in columns]
@@ -200,7 +206,7 @@ def backtest(
     scored: DataFrame, ticks: DataFrame, orders: DataFrame, rates: DataFrame, config: ExecutionConfig
 ) -> DataFrame:
     """Top-k portfolio of every event, traded and valued: one row per event."""
-    portfolio = select_top_k(scored, config.portfolio_size)
+    portfolio = materialise(select_top_k(scored, config.portfolio_size), "portfolio")
     legs = quoted_legs(portfolio, orders, rates, config)
     models = impact_models(portfolio, ticks, rates, config) if config.use_price_impact else None
     return portfolio_stats(execute(legs, config, models))
@@ -228,13 +234,13 @@ def sweep_sizes(
 ) -> DataFrame:
     """Backtest summary per order size. Prices and models do not depend on size and are found once."""
     config = replace(config, use_price_impact=True, order_notional_quote=0.0)
-    portfolio = select_top_k(scored, config.portfolio_size)
+    portfolio = materialise(select_top_k(scored, config.portfolio_size), "portfolio")
     legs = quoted_legs(portfolio, orders, rates, config)
     sizes = F.array(*[F.lit(float(q)) for q in quantities_usdt])
     sized = legs.withColumn("order_usdt", F.explode(sizes))
     executed = execute(sized, config, impact_models(portfolio, ticks, rates, config))
-    stats = portfolio_stats(executed, ["order_usdt"])
-    return summarise_sizes(stats)
+    # One row per event and size, read by the means and by both medians.
+    return summarise_sizes(materialise(portfolio_stats(executed, ["order_usdt"]), "size-stats"))
 
 
 def summarise_sizes(stats: DataFrame) -> DataFrame:
@@ -283,12 +289,16 @@ def sweep_parameters(
     """
     config = config or ExecutionConfig(portfolio_size=max(sizes))
     largest = select_top_k(scored, max(sizes)).drop("weight")
-    timing = largest.withColumn("buy_before", F.explode(F.array(*[F.lit(b) for b in buy_before]))).withColumn(
-        "sell_after", F.explode(F.array(*[F.lit(s) for s in sell_after]))
-    )
-    keys = ["buy_before", "sell_after"]
-    legs = leg_prices(timing, orders, F.col("buy_before"), F.col("sell_after"), config.price_radius, keys)
+
+    def choices(values: Sequence[timedelta]) -> Column:
+        return F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.lit(v.total_seconds()).alias("s")) for v in values]))
+
+    timing = largest.withColumn("_buy", choices(buy_before)).withColumn("_sell", choices(sell_after))
+    timing = timing.withColumns({"buy_before_s": F.col("_buy.s"), "sell_after_s": F.col("_sell.s")})
+    keys = ["buy_before_s", "sell_after_s"]
+    legs = leg_prices(timing, orders, F.col("_buy.v"), F.col("_sell.v"), config.price_radius, keys)
     term = term_asset(F.col(CANDIDATE))
+    legs = materialise(legs, "legs")
     rated = quote_to_usdt(quote_to_usdt(legs, rates, term, "entry_ts", "entry_rate"), rates, term, "exit_ts", "exit_rate")
     executed = execute(rated, config)
     chosen = executed.withColumn("portfolio_size", F.explode(F.array(*[F.lit(k) for k in sizes]))).where(
