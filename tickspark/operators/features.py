@@ -69,6 +69,7 @@ class FeatureWindows:
 
 # Segment numbers: look-backs count up from 0 and decays from _DECAY; what no window holds is
 # _BEFORE or _AFTER the event and serves the bar baseline only.
+_BASELINE = -1
 _DECAY = 1000
 _BEFORE = 10_000
 _AFTER = 20_000
@@ -257,8 +258,19 @@ def segment_partials(pieces: DataFrame, windows: FeatureWindows) -> DataFrame:
     )
 
 
-def _merged_moments(stem: str) -> tuple[Column, Column]:
-    """Mean and sample deviation over all segments from per-segment counts, means and squares."""
+def _windows_of(segment: Column, windows: FeatureWindows) -> Column:
+    """The nested windows that hold a segment; every segment also counts for the baseline."""
+    last = len(windows.offsets) - 1
+    last_decay = _DECAY + len(windows.decays) - 1
+    nested = F.when(segment <= last, F.sequence(segment, F.lit(last))).when(
+        segment.between(_DECAY, last_decay), F.sequence(segment, F.lit(last_decay))
+    )
+    everything = F.array(F.lit(_BASELINE))
+    return F.when(nested.isNotNull(), F.concat(everything, nested)).otherwise(everything)
+
+
+def _moments(stem: str) -> tuple[Column, Column]:
+    """Mean and sample deviation over segments from their counts, means and squared deviations."""
     n, mean, m2 = F.col(f"{stem}_n"), F.col(f"{stem}_mean"), F.col(f"{stem}_m2")
     total = F.sum(n)
     overall = F.try_divide(F.sum(n * mean), total)
@@ -268,63 +280,59 @@ def _merged_moments(stem: str) -> tuple[Column, Column]:
     return overall, deviation
 
 
-def roll_up(partials: DataFrame, windows: FeatureWindows) -> DataFrame:
-    """Nested windows and decay returns of every (event, symbol) from its segments."""
-    segment = F.col("segment")
+def window_features(partials: DataFrame, windows: FeatureWindows) -> DataFrame:
+    """One narrow row per (event, symbol, window): sums over the window's segments, then ratios.
+
+    Segments are laid out by (event, symbol) first, so this aggregate and the widening that follows
+    it share one exchange.
+    """
+    key = [GROUP, EVENT_TIME, "symbol"]
+    spread = partials.repartition(*key).withColumn("window", F.explode(_windows_of(F.col("segment"), windows)))
+    total = {name: F.sum(name) for name in [*_ORDER_SUMS, "bars", "bar_return", "bar_quote"]}
+    n = F.coalesce(total["n"], F.lit(0).cast("bigint"))
+    _, return_std = _moments("base_return")
+    quote_mean, quote_std = _moments("base_quote")
+    return spread.groupBy(*key, "window").agg(
+        pips(F.max_by("close_price", "last_time"), F.min_by("previous_price", "first_time")).alias("asset_return"),
+        F.try_divide(total["n_long"].cast("double"), n).alias("share_of_long_trades"),
+        powerlaw_alpha(n, total["log_quote"], F.min("quote_min"), F.max("quote_max")).alias("powerlaw_alpha"),
+        ratio(total["slippage_sign"], total["slippage_abs"]).alias("slippage_imbalance"),
+        ratio(total["flow_sign"], total["flow_abs"]).alias("flow_imbalance"),
+        n.alias("num_trades"),
+        F.try_divide(total["bar_return"], total["bars"]).alias("bar_return"),
+        F.try_divide(total["bar_quote"], total["bars"]).alias("bar_quote"),
+        return_std.alias("return_std"),
+        quote_mean.alias("quote_mean"),
+        quote_std.alias("quote_std"),
+    )
 
-    def pick(window: Column, value: str) -> Column:
-        return F.when(window, F.col(value))
 
-    def window_return(window: Column) -> Column:
-        last = F.max_by("close_price", pick(window, "last_time"))
-        return pips(last, F.min_by("previous_price", pick(window, "first_time")))
+def roll_up(partials: DataFrame, windows: FeatureWindows) -> DataFrame:
+    """Nested windows and decay returns of every (event, symbol), one wide row each."""
 
-    return_mean, return_std = _merged_moments("base_return")
-    quote_mean, quote_std = _merged_moments("base_quote")
-    aggregates = [return_std.alias("_return_std"), quote_mean.alias("_quote_mean"), quote_std.alias("_quote_std")]
+    def at(window: int, value: str) -> Column:
+        return F.max(F.when(F.col("window") == window, F.col(value)))
+
+    return_std, quote_mean, quote_std = (at(_BASELINE, c) for c in ("return_std", "quote_mean", "quote_std"))
+    columns = []
     for i, (slug, _) in enumerate(windows.sorted_offsets):
-        window = segment <= i
-        total = {name: F.sum(pick(window, name)) for name in [*_ORDER_SUMS, "bars", "bar_return", "bar_quote"]}
-        n = F.coalesce(total["n"], F.lit(0))
         features = {
-            "asset_return": window_return(window),
-            "share_of_long_trades": F.try_divide(total["n_long"].cast("double"), n),
-            "powerlaw_alpha": powerlaw_alpha(
-                n, total["log_quote"], F.min(pick(window, "quote_min")), F.max(pick(window, "quote_max"))
-            ),
-            "slippage_imbalance": ratio(total["slippage_sign"], total["slippage_abs"]),
-            "flow_imbalance": ratio(total["flow_sign"], total["flow_abs"]),
-            "num_trades": n,
-            "_bar_return": F.try_divide(total["bar_return"], total["bars"]),
-            "_bar_quote": F.try_divide(total["bar_quote"], total["bars"]),
+            "asset_return": at(i, "asset_return"),
+            "asset_return_zscore": ratio(at(i, "bar_return"), return_std),
+            "quote_abs_zscore": ratio(at(i, "bar_quote") - quote_mean, quote_std),
+            "share_of_long_trades": at(i, "share_of_long_trades"),
+            "powerlaw_alpha": at(i, "powerlaw_alpha"),
+            "slippage_imbalance": at(i, "slippage_imbalance"),
+            "flow_imbalance": at(i, "flow_imbalance"),
+            "num_trades": F.coalesce(at(i, "num_trades"), F.lit(0).cast("bigint")),
         }
-        aggregates += [column.alias(feature_column(name, slug)) for name, column in features.items()]
+        columns += [column.alias(feature_column(name, slug)) for name, column in features.items()]
     for i, (slug, _) in enumerate(windows.sorted_decays):
-        window = segment.between(_DECAY, _DECAY + i)
-        aggregates.append(window_return(window).alias(feature_column("target_return", slug)))
-    rolled = partials.groupBy(GROUP, EVENT_TIME, F.col("symbol").alias(CANDIDATE)).agg(*aggregates)
-
-    output = [GROUP, EVENT_TIME, CANDIDATE]
-    for slug, _ in windows.sorted_offsets:
-        bar_return, bar_quote = F.col(f"`_bar_return@{slug}`"), F.col(f"`_bar_quote@{slug}`")
-        derived = {
-            "asset_return_zscore": ratio(bar_return, F.col("_return_std")),
-            "quote_abs_zscore": ratio(bar_quote - F.col("_quote_mean"), F.col("_quote_std")),
-        }
-        for family in (
-            "asset_return",
-            "asset_return_zscore",
-            "quote_abs_zscore",
-            "share_of_long_trades",
-            "powerlaw_alpha",
-            "slippage_imbalance",
-            "flow_imbalance",
-            "num_trades",
-        ):
-            name = feature_column(family, slug)
-            output.append(derived[family].alias(name) if family in derived else F.col(f"`{name}`"))
-    output += [F.col(f"`{feature_column('target_return', slug)}`") for slug, _ in windows.sorted_decays]
-    return rolled.select(*output)
+        columns.append(at(_DECAY + i, "asset_return").alias(feature_column("target_return", slug)))
+    rows = window_features(partials, windows).groupBy(GROUP, EVENT_TIME, "symbol")
+    # Every (event, symbol) has a baseline row; the count keeps the aggregate valid without windows.
+    wide = rows.agg(*columns) if columns else rows.agg(F.count("*").alias("_rows")).drop("_rows")
+    return wide.withColumnRenamed("symbol", CANDIDATE)
 
 
 def prior_event_count(candidates: DataFrame, labels: DataFrame, name: str = NUM_PREV) -> DataFrame:

@@ -138,34 +138,31 @@ _register_family("a12", "target_return", list(fx.PANEL_DECAYS))
     with_sql(
         TICKS,
         DENSE,
-        select=f"""SELECT e.pump_hash, count(*) AS fills, count(DISTINCT t.symbol) AS symbols, {r('sum(t.price * t.quantity)', 'quote')}
+        select=f"""SELECT e.pump_hash, count(*) AS fills, {r('sum(t.price * t.quantity)', 'quote')}
         FROM labelled e JOIN ticks t ON t.trade_time BETWEEN e.pump_time - INTERVAL 30 DAY AND e.pump_time + INTERVAL 1 HOUR GROUP BY e.pump_hash""",
     ),
 )
 def event_tick_range_join(spark, sf_dir):
-    """Volume in every event's slice: hourly partials for whole hours, fills only in the two cut hours."""
+    """Market volume in every event's slice: hourly totals for whole hours, fills only in the two cut hours."""
     ticks = fx.ticks(spark, sf_dir).withColumn("hour", F.window("trade_time", "1 hour").getField("start"))
-    windows = FeatureWindows(offsets={}, decays={})
-    cut = slices(fx.dense_labels(spark, sf_dir), windows)
-    hours = ticks.groupBy("symbol", "hour").agg(
-        F.count("*").alias("fills"), F.sum(F.col("price") * F.col("quantity")).alias("quote")
-    )
+    cut = slices(fx.dense_labels(spark, sf_dir), FeatureWindows(offsets={}, decays={}))
+    quote = F.col("price") * F.col("quantity")
+    hours = ticks.groupBy("hour").agg(F.count("*").alias("fills"), F.sum(quote).alias("quote"))
     dated = cut.withColumn("date", F.explode(days_between(F.col("slice_start"), F.col("slice_stop"))))
     whole = (
         hours.withColumn("date", F.to_date("hour"))
         .join(dated, "date")
         .where((F.col("hour") > F.col("slice_hours")[0]) & (F.col("hour") < F.element_at("slice_hours", -1)))
-        .select(GROUP, "symbol", "fills", "quote")
+        .select(GROUP, "fills", "quote")
     )
     edges = cut.withColumn("hour", F.explode("slice_hours"))
     parts = (
         ticks.join(edges, "hour")
         .where(F.col("trade_time").between(F.col("slice_start"), F.col("slice_stop")))
-        .select(GROUP, "symbol", F.lit(1).cast("bigint").alias("fills"), (F.col("price") * F.col("quantity")).alias("quote"))
+        .select(GROUP, F.lit(1).cast("bigint").alias("fills"), quote.alias("quote"))
     )
-    per_symbol = whole.unionByName(parts).groupBy(GROUP, "symbol").agg(F.sum("fills").alias("fills"), F.sum("quote").alias("quote"))
     return rounded(
-        per_symbol.groupBy(GROUP).agg(F.sum("fills").alias("fills"), F.count("*").alias("symbols"), F.sum("quote").alias("quote"))
+        whole.unionByName(parts).groupBy(GROUP).agg(F.sum("fills").alias("fills"), F.sum("quote").alias("quote"))
     )
 
 

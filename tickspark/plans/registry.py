@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickspark.names import quoted
+from tickspark.session import tune
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -19,7 +20,7 @@ def plan(name: str, oracle: str | None = None) -> Callable[[Plan], Plan]:
     def register(function: Plan) -> Plan:
         if name in PLANS:
             raise ValueError(f"plan {name} is registered twice")
-        PLANS[name] = function
+        PLANS[name] = lambda spark, sf_dir: function(tune(spark), sf_dir)
         if oracle is not None:
             ORACLES[name] = oracle
         return function
