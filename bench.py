@@ -22,7 +22,6 @@ HEADLINES = [
     "a01_p03_p04_market_orders",
     "w01_order_lags",
     "a16_candles",
-    "a14_feature_matrix",
     "a14_reference_windows",
     "j01_event_tick_range_join",
     "w04_standardise",

@@ -12,7 +12,7 @@ from tickspark.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "local[4]",
+        "local[8]",
         "tickspark-tests",
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g"},
     )
