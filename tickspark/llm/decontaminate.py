@@ -40,12 +40,12 @@ def spaced(text: Column) -> Column:
 
 def canonical(words: Column) -> Column:
     """The template of a spaced text, word by word: splitting both at blanks lines them up."""
-    x = F.regexp_replace(words, r"[^ ]*[0-9][^ ]*", NUMBER)
+    x = F.regexp_replace(words, r"(?<= |^)[^ 0-9]*+[0-9][^ ]*", NUMBER)
     x = F.regexp_replace(x, rf"(?<={NUMBER} )(?i:{UNITS})(?=[ .,;:!?)]|$)[^ ]*", UNIT)
     # a name: a capital inside a sentence
     x = F.regexp_replace(x, r"(?<=[\p{Ll},;:›] )\p{Lu}[\p{L}'’-]*", NAME)
     # outer punctuation, unless the word is nothing else
-    x = F.regexp_replace(x, r"(?<=[^ ])[^\p{L}\p{N}‹› %]+(?= |$)|(?<= |^)[^\p{L}\p{N}‹› %]+(?=[^ ])", "")
+    x = F.regexp_replace(x, r"(?<=[^ ])[^\p{L}\p{N}‹› %]++(?= |$)|(?<= |^)[^\p{L}\p{N}‹› %]++(?=[^ ])", "")
     return F.lower(x)
 
 
@@ -106,7 +106,8 @@ def leaks(
         F.col("item_id_").eqNullSafe(F.col("id_")) & (F.col("item_") == F.col("of_")),
     )
     words = spaced(F.col("text"))
-    both = both.withColumns({"d_words": _split(words), "d_tokens": _split(canonical(words))})
+    # written, because expressions over these arrays would work them out again for every element
+    both = materialise(both.withColumns({"d_words": _split(words), "d_tokens": _split(canonical(words))}).drop("text"), "leak-both")
     shared = F.size(F.array_intersect("i_windows", _windows(F.col("d_tokens"), F.col("w"))))
     total = F.size(F.array_distinct("i_windows"))
     judged = both.withColumns({"n_windows": total, "n_found": shared}).where(100 * F.col("n_found") >= coverage * F.col("n_windows"))

@@ -40,14 +40,14 @@ def normalise(text: str) -> str:
 class LanguageModel:
     languages: tuple[str, ...]
     dictionaries: tuple[bytes, ...]
-    level: int = 3
+    level: int = 6
     min_margin: float = 0.02
     piece_chars: int = 1 << 16
 
 
 def fit(
-    labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = 200, sample_chars: int = 2000,
-    dict_bytes: int = 100_000, level: int = 3, min_margin: float = 0.02,
+    labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = 400, sample_chars: int = 300,
+    dict_bytes: int = 30_000, level: int = 6, min_margin: float = 0.02,
 ) -> LanguageModel:
     """Dictionaries from rows whose ``lang`` is not NULL."""
     rows = keyed(labelled, text, lang=lang).where("lang is not null and text is not null")

@@ -166,7 +166,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, cfg: NearDupConfig) -> DataFra
 def near_duplicates(
     docs: DataFrame, cfg: NearDupConfig = NearDupConfig(), doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, class_id, n_links, text_hash."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, class_id, text_hash."""
     source = keyed(docs, text, doc_id=doc_id).withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = materialise(_signatures(source, cfg), "near-signatures")
     full = signed.where("n_shingles > 0")
@@ -220,17 +220,14 @@ def near_duplicates(
 
     known = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = known.groupBy("comp").agg(F.min("first").alias("component_id"))
-    ends = links.select("a").union(links.select("b")).toDF("node")
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    of_class = known.join(smallest, "comp").join(degree, "node", "left")
-    of_class = of_class.select("set_a", "set_b", "component_id", F.col("first").alias("class_id"), "n_links")
+    of_class = known.join(smallest, "comp")
+    of_class = of_class.select("set_a", "set_b", "component_id", F.col("first").alias("class_id"))
     alone = F.col("n_shingles") == 0
     rows = signed.select("doc_id", "n_shingles", "set_a", "set_b", "text_hash").join(of_class, ["set_a", "set_b"], "left")
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        "text_hash",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "text_hash",
     )
 
 

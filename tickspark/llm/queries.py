@@ -20,6 +20,7 @@ from tickspark.llm import (
     token_output,
 )
 from tickspark.llm.common import table
+from tickspark.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,4 +95,3 @@ QUERIES: dict[str, Query] = {
         op6_best_fit_packing, op7_quality_rules, op8_substring_dedup, op9_html_extraction, op10_token_output,
     )
 }
-ORACLES: dict[str, str] = {}
