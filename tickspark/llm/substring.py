@@ -13,7 +13,8 @@ The reference is the corpus itself, so it can't be broadcast whole. It is cut do
 3. Equal segments of one anchor are merged before anything else moves: all but the first are repeats throughout.
 4. The distinct segments of an anchor are the reference shard's text, in order of document and position. They are
    dealt by anchor; a task builds the automaton of each anchor's segments and streams them through it.
-   Anchors with more than ``max_segments`` distinct segments are dealt by window instead.
+   Where an anchor has more than ``max_segments`` distinct segments, they are cut by a second anchor, chosen in
+   another order, and go through 2 to 4 again; at the last level they are cut to single windows.
 
 Shards are as small as an anchor, and travel by shuffle to the task that matches them, since no size bound can be
 proven for a broadcast. Words are compared as 64-bit hashes.
@@ -37,6 +38,8 @@ from tickspark.llm.common import WordHashes, fingerprint, groups, keyed, materia
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Times that the segments of an anchor with many of them are cut finer; the last time to single windows.
+LAST_LEVEL = 3
 
 
 class SuffixAutomaton:
@@ -119,7 +122,7 @@ def repeats_in_order(segments: list[list[int]], width: int) -> list[list[int]]:
     return out
 
 
-def _anchored(h: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, ...]:
+def _anchored(h: np.ndarray, width: int, anchor: int, level: int = 0) -> tuple[np.ndarray, ...]:
     """Segments of one document's word hashes: anchor hash, start, number of windows, content hash, and whether the
     anchor's words occur twice in it (1 or 0), as they must where a window repeats inside its own segment."""
     n = len(h)
@@ -129,6 +132,8 @@ def _anchored(h: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, ...]:
     x = np.full(n - anchor + 1, U(anchor), U)
     for j in range(anchor):
         x = mixed(x ^ h[j : n - anchor + 1 + j])
+    if level:  # another order of the same short runs
+        x = mixed(x ^ mixed(np.full(1, level, U)))
     short, need, span = x, width - anchor + 1, 1
     while span < need:  # minimum over `need` short runs, by doubling
         step = min(span, need - span)
@@ -176,7 +181,7 @@ def _words_at(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     per_doc = wanted.groupBy("doc_id", "fp_a").agg(
         F.collect_list(F.struct("anchor", "start", "windows")).alias("cuts")  # bounded by one document
     )
-    cuts = with_size_check(per_doc, "substring-cuts", 50_000)
+    cuts = per_doc
     same = docs["doc_id"].eqNullSafe(cuts["doc_id"]) & (docs["fp_a"] == cuts["fp_a"])
     joined = docs.join(cuts, same).select(docs["doc_id"], docs["fp_a"], "text", "cuts")
 
@@ -239,18 +244,65 @@ def _stream(shards: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(streamed, "doc_id long, fp_a long, start long, windows long")
 
 
-def _by_window(segments: DataFrame, width: int) -> DataFrame:
-    """The same for anchors with many distinct segments: each window by itself, merged before it is shuffled."""
-    each = segments.select(
-        "doc_id", "fp_a", F.posexplode(F.sequence(F.lit(0), F.size("words") - width)).alias("i", "j"), "start", "words"
-    ).select("doc_id", "fp_a", (F.col("start") + F.col("i")).alias("start"), F.slice("words", F.col("i") + 1, width).alias("w"))
-    hashed = each.select("doc_id", "fp_a", "start", F.xxhash64("w").alias("w_a"), F.xxhash64(F.lit(1), "w").alias("w_b"))
-    hashed = materialise(hashed, "substring-windows")
+def _cut_again(segments: DataFrame, width: int, anchor: int, level: int) -> DataFrame:
+    """Segments of an anchor with many distinct ones, cut by a second anchor that is chosen in another order. The
+    last level cuts to single windows, whose anchor is the window itself."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for a, d, f, start, words in zip(*(batch[c] for c in batch.schema.names), strict=True):
+                h = words.values.to_numpy().view(U)
+                with np.errstate(over="ignore"):
+                    if level < LAST_LEVEL:
+                        key, at, n, content, loops = _anchored(h, width, anchor, level)
+                        key = mixed(key.view(U) ^ mixed(np.full(1, a.as_py(), np.int64).view(U))).view(np.int64)
+                    else:
+                        at = np.arange(len(h) - width + 1)
+                        n, loops = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
+                        key = np.full(len(at), width, U)
+                        for j in range(width):
+                            key = mixed(key ^ h[j : j + len(at)])
+                        key = content = key.view(np.int64)
+                for row in zip(key.tolist(), (at + start.as_py()).tolist(), n.tolist(), content.tolist(), loops.tolist(), strict=True):
+                    rows.append((d.as_py(), f.as_py(), *row))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+    names = ["doc_id", "fp_a", "anchor", "start", "windows", "content", "loops"]
+    return segments.mapInArrow(cut, ", ".join(f"{c} long" for c in names))
+
+
+def _resolved(source: DataFrame, rows: DataFrame, width: int, anchor: int, max_segments: int, level: int) -> DataFrame:
+    """Runs of windows (doc_id, fp_a, start, windows) that repeat earlier ones, from all segments."""
+    often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("loops").alias("loops"))
+    often = often.where("n > 1 or loops = 1").select("anchor")
+    often = with_size_check(often, "substring-anchors", 3_000_000)  # one long a row
+    repeated = materialise(rows.join(often, "anchor"), "substring-repeated")
+
     place = F.struct("doc_id", "fp_a", "start")
-    first = hashed.groupBy("w_a", "w_b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.where(F.col("first") != F.col("last")).select("w_a", "w_b", "first")
-    later = hashed.join(first, ["w_a", "w_b"]).where(place != F.col("first"))
-    return later.select("doc_id", "fp_a", "start", F.lit(1).cast("long").alias("windows"))
+    distinct = materialise(
+        repeated.groupBy("anchor", "content").agg(
+            F.min(place).alias("first"), F.max("windows").alias("windows"), F.max("loops").alias("loops")
+        ),
+        "substring-distinct",
+    )
+    again = repeated.join(distinct.select("anchor", "content", "first"), ["anchor", "content"])
+    again = again.where(place != F.col("first")).select("doc_id", "fp_a", "start", "windows")
+    # an anchor with one distinct segment needs no automaton unless that repeats itself
+    per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("loops").alias("loops"))
+    shared = per_anchor.where("n > 1 or loops = 1")
+    shared = shared.select("anchor", (F.col("n") > max_segments).alias("hot"))
+    wanted = distinct.join(with_size_check(shared, "substring-shared"), "anchor")
+    wanted = materialise(wanted.select("first.*", "anchor", "windows", "hot"), "substring-wanted")
+    if level > LAST_LEVEL:  # single windows: what is not the first of its kind is a repeat
+        return again
+    found = again.unionByName(_stream(_words_at(source, wanted.where("not hot"), width), width))
+    hot = wanted.where("hot")
+    if hot.isEmpty():
+        return found
+    finer = materialise(_cut_again(_words_at(source, hot, width), width, anchor, level), "substring-finer")
+    return found.unionByName(_resolved(source, finer, width, anchor, max_segments, level + 1))
 
 
 def remove_repeats(
@@ -274,36 +326,13 @@ def remove_repeats(
     later = F.coalesce("several", F.lit(False)) & ~F.col("doc_id").eqNullSafe(F.col("first"))
     reference = marked.where(~later)
     rows = reference.select(*key, F.explode(F.arrays_zip("anchor", "start", "windows", "content", "loops")).alias("s")).select(*key, "s.*")
-    often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("loops").alias("loops"))
-    often = often.where("n > 1 or loops = 1").select("anchor")
-    often = with_size_check(often, "substring-anchors", 3_000_000)  # one long a row
-    repeated = materialise(rows.join(often, "anchor"), "substring-repeated")
-
-    place = F.struct(*key, "start")
-    distinct = materialise(
-        repeated.groupBy("anchor", "content").agg(
-            F.min(place).alias("first"), F.max("windows").alias("windows"), F.max("loops").alias("loops")
-        ),
-        "substring-distinct",
-    )
-    # an anchor with one distinct segment needs no automaton unless that repeats itself
-    per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("loops").alias("loops"))
-    shared = per_anchor.where("n > 1 or loops = 1")
-    shared = shared.select("anchor", (F.col("n") > max_segments).alias("hot"))
-    wanted = distinct.join(with_size_check(shared, "substring-shared"), "anchor")
-    wanted = materialise(wanted.select("first.*", "anchor", "windows", "hot"), "substring-wanted")
-    matched = _stream(_words_at(source, wanted.where("not hot"), width), width)
-    hot = wanted.where("hot")
-    if not hot.isEmpty():
-        matched = matched.union(_by_window(_words_at(source, hot, width), width))
-    again = repeated.join(distinct.select("anchor", "content", "first"), ["anchor", "content"]).where(place != F.col("first"))
-    found = again.select(*key, "start", "windows").unionByName(matched)
+    found = _resolved(source, rows, width, anchor, max_segments, 1)
     spans = found.groupBy(*key).agg(F.collect_list(F.struct("start", "windows")).alias("spans"))  # bounded by one document
     return _cut_out(source, spans, copies, width)
 
 
 def _cut_out(source: DataFrame, spans: DataFrame, copies: DataFrame, width: int) -> DataFrame:
-    removed = with_size_check(spans.withColumnRenamed("doc_id", "id"), "substring-spans", 20_000)
+    removed = spans.withColumnRenamed("doc_id", "id")
     same = source["doc_id"].eqNullSafe(removed["id"]) & (source["fp_a"] == removed["fp_a"])
     marked = source.join(removed.select("id", "fp_a", "spans"), same, "left").select(
         source["doc_id"], source["fp_a"], source["fp_b"], source["text"], "spans"
