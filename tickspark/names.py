@@ -14,7 +14,6 @@ SPOT_TRADE_COLUMNS = [
     "is_buyer_maker",
     "is_best_match",
 ]
-FUTURES_TRADE_COLUMNS = SPOT_TRADE_COLUMNS[:-1]
 CANDLE_COLUMNS = [
     "open_time",
     "open_price",
@@ -75,6 +74,18 @@ CANDIDATE = "currency_pair"
 LABEL = "is_pumped"
 SCORE = "score"
 
+# --- Fixed values: bins of the ranking metrics --------------------------------------------
+TOPK_BINS = (1, 2, 3, 5, 10, 20, 30)
+TOPK_PERCENT_BINS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5)
+
+# --- Fixed values: defaults of a backtest -------------------------------------------------
+BUY_BEFORE = timedelta(minutes=15)
+SELL_AFTER = timedelta(minutes=1)
+ORDER_USDT = 1.0
+IMPACT_LOOKBACK_DAYS = 14
+PRICE_RADIUS = timedelta(days=1)
+EXIT_WINDOW = timedelta(minutes=10)
+
 # --- Fixed values: dataset boundaries and trading cost ------------------------------------
 SPLIT_BOUNDARIES = [datetime(2020, 9, 1), datetime(2021, 5, 1)]
 SPLIT_NAMES = ["TRAIN", "VALIDATION", "TEST"]

@@ -90,6 +90,8 @@ def leg_prices(
         F.col("symbol").alias(CANDIDATE), F.to_date("trade_time").alias("date"), "trade_time", "price_first", "price_last"
     )
     at = F.col("trade_time")
+    # Where orders are still to be built from fills, this reaches below that aggregate.
+    prices = prices.join(dated.select(CANDIDATE, "date").distinct(), [CANDIDATE, "date"], "left_semi")
     near = prices.join(dated, [CANDIDATE, "date"]).where((at >= F.col("_from")) & (at < F.col("_to")))
     entry_at, exit_at = F.when(at <= F.col("_buy"), at), F.when(at >= F.col("_sell"), at)
     found = near.groupBy(*identity).agg(

@@ -67,6 +67,20 @@ class FeatureWindows:
         return sorted(self.decays.items(), key=lambda item: item[1])
 
 
+#: Ways that one date or hour is dealt out by symbol where it meets the events: a date holds every symbol.
+SALTS = 16
+
+
+def by_salt(df: DataFrame) -> DataFrame:
+    """Rows with a symbol, marked with the share of their date or hour that they belong to."""
+    return df.withColumn("_salt", F.pmod(F.xxhash64("symbol"), F.lit(SALTS)))
+
+
+def to_all_salts(events: DataFrame) -> DataFrame:
+    """Event rows, which know no symbol yet, once for each share."""
+    return events.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])))
+
+
 # Segment numbers: look-backs count up from 0 and decays from _DECAY; what no window holds is
 # _BEFORE or _AFTER the event and serves the bar baseline only.
 _BASELINE = -1
@@ -168,7 +182,7 @@ def slice_pieces(orders: DataFrame, events: DataFrame, windows: FeatureWindows)
     hourly = hourly_partials(orders).withColumn("date", F.to_date("hour"))
     is_edge = F.array_contains("edge_hours", F.col("hour"))
     roles = F.when(is_edge, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
-    hours = hourly.join(dated, "date").withColumn("_role", F.explode(roles))
+    hours = by_salt(hourly).join(to_all_salts(dated), ["date", "_salt"]).withColumn("_role", F.explode(roles))
     inside = (F.col("hour") > F.col("slice_hours")[0]) & (F.col("hour") < F.element_at("slice_hours", -1))
     whole = inside & (F.col("_role") == 0)
     head = (F.col("_role") == 2) & F.col("first_time").between(F.col("slice_start"), F.col("slice_stop"))
@@ -189,8 +203,8 @@ def slice_pieces(orders: DataFrame, events: DataFrame, windows: FeatureWindows)
     edges = cut.withColumn("hour", F.explode("edge_hours"))
     in_edges = orders.join(edges.select("hour").distinct(), "hour", "left_semi")
     raw = (
-        with_previous_in_hour(in_edges)
-        .join(edges, "hour")
+        by_salt(with_previous_in_hour(in_edges))
+        .join(to_all_salts(edges), ["hour", "_salt"])
         .where(F.col("trade_time").between(F.col("slice_start"), F.col("slice_stop")))
         .withColumns({"previous_price": F.col("price_last_prev"), "previous_time": F.col("trade_time_prev")})
     )
@@ -227,6 +241,33 @@ def slice_pieces(orders: DataFrame, events: DataFrame, windows: FeatureWindows)
     return reduce(DataFrame.unionByName, [from_hours, from_orders, from_ends])
 
 
+def slice_totals(ticks: DataFrame, cut: DataFrame) -> DataFrame:
+    """Fills and quote volume of the whole market in every slice of ``cut`` (see :func:`slices`).
+
+    Hourly totals serve the whole hours; fills meet the slices only in the hours that a slice cuts, dealt out by
+    symbol so that one busy hour is no single task.
+    """
+    quote = F.col("price") * F.col("quantity")
+    placed = ticks.withColumn("hour", floor_time(F.col("trade_time"), 3600))
+    hours = placed.groupBy("hour").agg(F.count("*").alias("fills"), F.sum(quote).alias("quote"))
+    dated = cut.withColumn("date", F.explode(days_between(F.col("slice_start"), F.col("slice_stop"))))
+    whole = (
+        hours.withColumn("date", F.to_date("hour"))  # 24 rows a date
+        .join(dated, "date")
+        .where((F.col("hour") > F.col("slice_hours")[0]) & (F.col("hour") < F.element_at("slice_hours", -1)))
+        .select(GROUP, "fills", "quote")
+    )
+    edges = cut.withColumn("hour", F.explode("slice_hours"))
+    parts = (
+        by_salt(placed)
+        .join(to_all_salts(edges), ["hour", "_salt"])
+        .where(F.col("trade_time").between(F.col("slice_start"), F.col("slice_stop")))
+        .select(GROUP, F.lit(1).cast("bigint").alias("fills"), quote.alias("quote"))
+    )
+    both = whole.unionByName(parts)
+    return both.groupBy(GROUP).agg(F.sum("fills").alias("fills"), F.sum("quote").alias("quote"))
+
+
 def segment_partials(pieces: DataFrame, windows: FeatureWindows) -> DataFrame:
     """Sum the pieces of each (event, symbol, segment)."""
     baseline = F.col("bar_return"), F.col("bar_quote")
@@ -269,15 +310,24 @@ def _windows_of(segment: Column, windows: FeatureWindows) -> Column:
     return F.when(nested.isNotNull(), F.concat(everything, nested)).otherwise(everything)
 
 
-def _moments(stem: str) -> tuple[Column, Column]:
-    """Mean and sample deviation over segments from their counts, means and squared deviations."""
-    n, mean, m2 = F.col(f"{stem}_n"), F.col(f"{stem}_mean"), F.col(f"{stem}_m2")
-    total = F.sum(n)
-    overall = F.try_divide(F.sum(n * mean), total)
-    squares = F.sum(m2 + n * mean * mean) - total * overall * overall
-    flat = F.min(f"{stem}_min") == F.max(f"{stem}_max")
-    deviation = F.when(total > 1, F.when(flat, F.lit(0.0)).otherwise(F.sqrt(F.greatest(squares / (total - 1), F.lit(0.0)))))
-    return overall, deviation
+def _segments_of(stem: str) -> Column:
+    """Count, mean and squared deviations of a window's segments, a score of them at most."""
+    n = F.col(f"{stem}_n")
+    return F.collect_list(F.when(n > 0, F.struct(n.alias("n"), F.col(f"{stem}_mean").alias("mean"), F.col(f"{stem}_m2").alias("m2"))))
+
+
+def _mean(parts: Column) -> Column:
+    zero = F.lit(0.0)
+    return F.try_divide(F.aggregate(parts, zero, lambda a, p: a + p["n"] * p["mean"]), F.aggregate(parts, zero, lambda a, p: a + p["n"]))
+
+
+def _deviation(parts: Column, mean: Column, flat: Column) -> Column:
+    """Sample deviation from segments. Each mean is set against the overall one before squaring, so large levels
+    do not cancel."""
+    zero = F.lit(0.0)
+    n = F.aggregate(parts, zero, lambda a, p: a + p["n"])
+    squares = F.aggregate(parts, zero, lambda a, p: a + p["m2"] + p["n"] * (p["mean"] - mean) * (p["mean"] - mean))
+    return F.when(n > 1, F.when(flat, zero).otherwise(F.sqrt(squares / (n - 1))))
 
 
 def window_features(partials: DataFrame, windows: FeatureWindows) -> DataFrame:
@@ -290,9 +340,8 @@ def window_features(partials: DataFrame, windows: FeatureWindows) -> DataFrame:
     spread = partials.repartition(*key).withColumn("window", F.explode(_windows_of(F.col("segment"), windows)))
     total = {name: F.sum(name) for name in [*_ORDER_SUMS, "bars", "bar_return", "bar_quote"]}
     n = F.coalesce(total["n"], F.lit(0).cast("bigint"))
-    _, return_std = _moments("base_return")
-    quote_mean, quote_std = _moments("base_quote")
-    return spread.groupBy(*key, "window").agg(
+    flat = lambda stem: F.min(f"{stem}_min") == F.max(f"{stem}_max")
+    sums = spread.groupBy(*key, "window").agg(
         pips(F.max_by("close_price", "last_time"), F.min_by("previous_price", "first_time")).alias("asset_return"),
         F.try_divide(total["n_long"].cast("double"), n).alias("share_of_long_trades"),
         powerlaw_alpha(n, total["log_quote"], F.min("quote_min"), F.max("quote_max")).alias("powerlaw_alpha"),
@@ -301,10 +350,18 @@ def window_features(partials: DataFrame, windows: FeatureWindows) -> DataFrame:
         n.alias("num_trades"),
         F.try_divide(total["bar_return"], total["bars"]).alias("bar_return"),
         F.try_divide(total["bar_quote"], total["bars"]).alias("bar_quote"),
-        return_std.alias("return_std"),
-        quote_mean.alias("quote_mean"),
-        quote_std.alias("quote_std"),
+        _segments_of("base_return").alias("_return"),
+        _segments_of("base_quote").alias("_quote"),
+        flat("base_return").alias("_return_flat"),
+        flat("base_quote").alias("_quote_flat"),
     )
+    means = sums.withColumns({"return_mean": _mean(F.col("_return")), "quote_mean": _mean(F.col("_quote"))})
+    return means.withColumns(
+        {
+            f"{stem}_std": _deviation(F.col(f"_{stem}"), F.col(f"{stem}_mean"), F.col(f"_{stem}_flat"))
+            for stem in ("return", "quote")
+        }
+    ).drop("_return", "_quote", "_return_flat", "_quote_flat", "return_mean")
 
 
 def roll_up(partials: DataFrame, windows: FeatureWindows) -> DataFrame:
@@ -338,16 +395,19 @@ def roll_up(partials: DataFrame, windows: FeatureWindows) -> DataFrame:
 def prior_event_count(candidates: DataFrame, labels: DataFrame, name: str = NUM_PREV) -> DataFrame:
     """Add how many labelled events each candidate symbol had strictly before the group's event.
 
-    Labels are merged into the candidates' time line and counted in one window per symbol, so the
-    work grows with candidates plus labels and not with their product. A symbol's time line has one
-    row per event at most.
+    Only labelled symbols can have any, so their distinct (symbol, time) pairs are merged with the labels and
+    counted in one window per symbol; the counts are joined back to the candidates. A symbol's time line has one
+    row per event and label at most.
     """
-    marks = labels.select(F.col(TARGET).alias(CANDIDATE), EVENT_TIME).withColumn("_mark", F.lit(1))
-    both = candidates.withColumn("_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    marks = labels.select(F.col(TARGET).alias(CANDIDATE), EVENT_TIME, F.lit(1).alias("_mark"))
+    asked = candidates.select(CANDIDATE, EVENT_TIME).distinct().join(marks.select(CANDIDATE), CANDIDATE, "left_semi")
     timeline = Window.partitionBy(CANDIDATE).orderBy(EVENT_TIME)
     upto = F.sum("_mark").over(timeline.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     same = F.sum("_mark").over(timeline.rangeBetween(Window.currentRow, Window.currentRow))
-    return both.withColumn(name, upto - same).where(F.col("_mark") == 0).drop("_mark")
+    both = asked.withColumn("_mark", F.lit(0)).unionByName(marks).withColumn("_count", upto - same)
+    counts = both.where(F.col("_mark") == 0).select(CANDIDATE, EVENT_TIME, "_count")
+    joined = candidates.join(counts, [CANDIDATE, EVENT_TIME], "left")
+    return joined.withColumn(name, F.coalesce("_count", F.lit(0).cast("bigint"))).drop("_count").select(*candidates.columns, name)
 
 
 def features_from_orders(

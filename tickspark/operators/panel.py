@@ -25,6 +25,7 @@ from tickspark.names import (
     standardised_columns,
 )
 from tickspark.operators.running import bucketed_running_sum, dense_index, exact_percentiles, hash_order, range_bucket
+from tickspark.session import materialise
 
 
 def positive_label(candidate: Column, target: Column) -> Column:
@@ -88,14 +89,6 @@ def regressors(panel: DataFrame, slugs: Sequence[str] | None = None) -> DataFram
     return panel.select(*[quoted(c) for c in regressor_columns(list(slugs) if slugs else None)])
 
 
-def labels(panel: DataFrame, target: str = LABEL) -> DataFrame:
-    return panel.select(quoted(target))
-
-
-def evaluation_columns(panel: DataFrame, fields: Sequence[str]) -> DataFrame:
-    return panel.select(*[quoted(c) for c in fields])
-
-
 # --- Cleaning --------------------------------------------------------------------------------
 
 
@@ -174,20 +167,38 @@ def _long(panel: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> Data
 def group_medians(panel: DataFrame, columns: Sequence[str], group: str | None = GROUP) -> DataFrame:
     """Exact medians of many columns, per group or (``group=None``) over the whole panel, as one wide row."""
     keys = [group] if group else []
-    long = exact_percentiles(_long(panel, columns, keys), [*keys, "_c"], "_x", [0.5], ["_median"])
+    return _wide_medians(_long(panel, columns, keys), columns, keys)
+
+
+def _wide_medians(entries: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    long = exact_percentiles(entries, [*keys, "_c"], "_x", [0.5], ["_median"])
     wide = [F.max(F.when(F.col("_c") == i, F.col("_median"))).alias(f"_m{i}") for i in range(len(columns))]
     return long.groupBy(*keys).agg(*wide)
 
 
 def fill_with_medians(panel: DataFrame, columns: Sequence[str], group: str = GROUP) -> DataFrame:
-    """Fill NULLs with the group's median, then with the median of all rows."""
-    by_group = group_medians(panel, columns, group)
-    overall = group_medians(panel, columns, None)
-    packed = overall.select(F.struct(*overall.columns)).scalar()
-    joined = panel.join(by_group, group, "left").withColumn("_overall", packed)
+    """Fill NULLs with the group's median, then with the median of all rows.
+
+    Only the (group, column) pairs that hold a NULL and a value need the group's median, and only the columns that
+    some group lacks altogether need the median of all rows; one count per group and column finds both.
+    """
+    counted = panel.groupBy(group).agg(F.count("*").alias("_rows"), *[F.count(F.col(quoted(c))).alias(f"_n{i}") for i, c in enumerate(columns)])
+    counted = materialise(counted, "null-counts")
+    entries = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"_n{i}").alias("_n")) for i in range(len(columns))])
+    partly = counted.select(group, "_rows", F.inline(entries)).where((F.col("_n") > 0) & (F.col("_n") < F.col("_rows")))
+    long = _long(panel, columns, [group]).join(partly.select(group, "_c"), [group, "_c"], "left_semi")
+    by_group = _wide_medians(long, columns, [group])
+    lacking = counted.agg(*[F.coalesce(F.bool_or(F.col(f"_n{i}") == 0), F.lit(False)).alias(f"_l{i}") for i in range(len(columns))])
+    absent = [c for c, needed in zip(columns, lacking.first()) if needed]  # one flag per column
+    joined = panel.join(by_group, group, "left")
+    overall: dict[str, Column] = {}
+    if absent:
+        medians = group_medians(panel, absent, None)
+        joined = joined.withColumn("_overall", medians.select(F.struct(*medians.columns)).scalar())
+        overall = {c: F.col(f"_overall._m{i}") for i, c in enumerate(absent)}
     filled = {
-        name: F.coalesce(F.col(quoted(name)).cast("double"), F.col(f"_m{i}"), F.col(f"_overall._m{i}"))
-        for i, name in enumerate(columns)
+        c: F.coalesce(F.col(quoted(c)).cast("double"), F.col(f"_m{i}"), overall.get(c, F.lit(None).cast("double")))
+        for i, c in enumerate(columns)
     }
     return joined.withColumns(filled).drop("_overall", *[f"_m{i}" for i in range(len(columns))])
 
@@ -224,7 +235,7 @@ def split_by_time(
 ) -> DataFrame:
     """Add ``split``: before the first boundary, between boundaries, from the last one on."""
     if len(names) != len(boundaries) + 1:
-        raise ValueError("there must be one more name than boundaries")
+        raise ValueError(f"{len(boundaries)} boundaries make {len(boundaries) + 1} splits, but {len(names)} are named")
     t = F.col(time_col)
     chain = reduce(
         lambda acc, pair: acc.when(t < F.lit(pair[0]).cast("timestamp_ntz"), pair[1]),
@@ -254,10 +265,6 @@ def distinct_groups(df: DataFrame, group: str = GROUP) -> DataFrame:
     return df.select(group).distinct()
 
 
-def cross_section(df: DataFrame, hash_: str, group: str = GROUP) -> DataFrame:
-    return df.where(F.col(group) == hash_)
-
-
 def group_set_difference(left: DataFrame, right: DataFrame, group: str = GROUP) -> DataFrame:
     """Groups present on one side only, with the side that lacks them."""
     a, b = distinct_groups(left, group), distinct_groups(right, group)
@@ -318,6 +325,7 @@ def preprocess(
         raise ValueError(f"unknown variant {variant!r}")
     slugs = list(slugs)
     check_columns(panel, [*regressor_columns(slugs), LABEL, GROUP, EVENT_TIME])
+    require_single_positive(panel)
     df = add_group_id(panel, events)
     df = clip_tail_exponents(remove_failed_events(df, success_column, worst_rank), slugs)
     if variant == "logistic":

@@ -13,24 +13,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickspark.names import CANDIDATE, GROUP, LABEL, SCORE
+from tickspark.names import CANDIDATE, GROUP, LABEL, SCORE, TOPK_BINS, TOPK_PERCENT_BINS
 from tickspark.operators.running import bucketed_lag, bucketed_running_sum, range_bucket
 
-TOPK_BINS = (1, 2, 3, 5, 10, 20, 30)
-TOPK_PERCENT_BINS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5)
 
 
 def auc_bins(max_share: float = 0.20, step: float = 0.005) -> list[float]:
     """The grid 0, step, 2*step … max_share in double arithmetic."""
-    return [float(b) for b in np.arange(0, max_share + step, step)]
+    return [i * step for i in range(round(max_share / step) + 1)]
 
 
 def curve_bins() -> list[float]:
-    return [float(b) for b in np.arange(0, 0.21, 0.01)]
+    return [i * 0.01 for i in range(21)]
 
 
 def score_table(predictions: DataFrame, score: Column | str, keys: Sequence[str] = ()) -> DataFrame:
@@ -39,7 +36,8 @@ def score_table(predictions: DataFrame, score: Column | str, keys: Sequence[str]
     return predictions.select(*keys, GROUP, CANDIDATE, LABEL, column.alias(SCORE))
 
 
-def _score() -> Column:
+def sort_score() -> Column:
+    """The score with NULL and NaN below every number."""
     return F.coalesce(F.nanvl(SCORE, F.lit(float("-inf"))), F.lit(float("-inf")))
 
 
@@ -49,12 +47,12 @@ def group_ranks(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     best = (
         scored.where(LABEL)
         .groupBy(*group)
-        .agg(F.count("*").alias("positives"), F.min(F.struct(-_score(), CANDIDATE)).alias("_b"))
+        .agg(F.count("*").alias("positives"), F.min(F.struct(-sort_score(), CANDIDATE)).alias("_b"))
         .select(*group, "positives", (-F.col("_b.col1")).alias("_best"), F.col(f"_b.{CANDIDATE}").alias("_id"))
     )
     beats = (F.col("_s") > F.col("_best")) | ((F.col("_s") == F.col("_best")) & (F.col(CANDIDATE) < F.col("_id")))
     return (
-        scored.select(*group, CANDIDATE, _score().alias("_s"))
+        scored.select(*group, CANDIDATE, sort_score().alias("_s"))
         .join(best, group, "left")
         .groupBy(*group)
         .agg(
@@ -137,7 +135,7 @@ def predicted_labels(
     if rule != "top1_per_cross_section":
         raise ValueError(f"unknown decision rule {rule!r}")
     group = [*keys, GROUP]
-    best = scored.groupBy(*group).agg(F.min(F.struct(-_score(), CANDIDATE)).getField(CANDIDATE).alias("_top"))
+    best = scored.groupBy(*group).agg(F.min(F.struct(-sort_score(), CANDIDATE)).getField(CANDIDATE).alias("_top"))
     return scored.join(best, group).withColumn("predicted", (F.col(CANDIDATE) == F.col("_top")).cast("int")).drop("_top")
 
 
@@ -158,7 +156,9 @@ def classification_table(
     return counts.withColumns(
         {
             "f1": F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)),
-            "balanced_accuracy": (F.coalesce(recall_1, F.lit(0.0)) + F.coalesce(recall_0, F.lit(0.0))) / present,
+            "balanced_accuracy": F.try_divide(
+                F.coalesce(recall_1, F.lit(0.0)) + F.coalesce(recall_0, F.lit(0.0)), present
+            ),
         }
     )
 
@@ -173,7 +173,7 @@ def precision_recall_curve(scored: DataFrame, keys: Sequence[str] = (), buckets:
     inside score ranges and shifted by the ranges above.
     """
     counts = (
-        scored.select(*keys, _score().alias(SCORE), F.col(LABEL).cast("bigint").alias("_p"))
+        scored.select(*keys, sort_score().alias(SCORE), F.col(LABEL).cast("bigint").alias("_p"))
         .groupBy(*keys, SCORE)
         .agg(F.sum("_p").alias("_tp"), F.count("*").alias("_all"))
         .withColumn("_down", -F.col(SCORE))

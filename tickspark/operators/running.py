@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickspark.session import materialise
+
 _BUCKET = "_bucket"
 _POSITION = "_position"
 
@@ -129,7 +131,8 @@ def exact_percentiles(
 
     A mergeable sketch brackets each percentile within a per-mille of the ranks; one more pass
     counts what lies below the bracket and keeps only the distinct values inside it, plus the
-    nearest value on either side. The two order statistics are then read off running counts.
+    nearest value on either side. The two order statistics are then read off running counts, which are
+    summed in ranges of the bracket and shifted by the ranges before.
     The bracket is wider than the sketch error, so the answer is exact and not estimated.
     NULL values are ignored; a key with only NULLs yields no row.
     """
@@ -163,12 +166,15 @@ def exact_percentiles(
         # Below the bracket its last value matters, above it the first one.
         .withColumn("_at", F.when(F.col("_zone") == 0, F.col("_max")).otherwise(F.col("_min")))
     )
-    upto = (
-        Window.partitionBy(*keys, "i").orderBy("_zone", "_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    # One small row per distinct value in a bracket, read by the bounds, the totals and the running counts.
+    stored = materialise(spots, "percentile-spots")
+    each = [*keys, "i"]
+    ranged = range_bucket(stored, "_mid", each, 64)
+    ordered = ranged.withColumn(_BUCKET, F.when(F.col("_zone") == 0, -1).when(F.col("_zone") == 2, 64).otherwise(F.col(_BUCKET)))
+    running = bucketed_running_sum(ordered, each, _BUCKET, ["_zone", "_mid"], {"_rows": "_upto"})
     rank = F.col("p") * (F.col("_n") - 1)
     low, high = F.floor(rank) + 1, F.ceil(rank) + 1
-    ranked = spots.withColumns({"_upto": F.sum("_rows").over(upto), "_low": low, "_high": high, "_part": rank - F.floor(rank)})
+    ranked = running.withColumns({"_low": low, "_high": high, "_part": rank - F.floor(rank)})
     ends_at = F.col("_upto")
     starts_after = F.col("_upto") - F.col("_rows")
     covers = lambda r: (starts_after < F.col(r)) & (F.col(r) <= ends_at)

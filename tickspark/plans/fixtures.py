@@ -21,14 +21,12 @@ SELECT event_id AS trade_id, concat('U', user_id, '-BTC') AS symbol, ts AS trade
 FROM events
 """
 
-_LABELLED = """
+# The events that everything is arranged around: purchases of more than 200.
+LABELS = """
 SELECT concat(concat('U', user_id, '-BTC'), ':BINANCE_SPOT:', CAST(event_id AS STRING)) AS pump_hash,
        concat('U', user_id, '-BTC') AS pumped_currency_pair, ts AS pump_time
-FROM events WHERE event_type = 'purchase' AND event_id % {step} = 0
+FROM events WHERE event_type = 'purchase' AND value > 200
 """
-# Two label lists derived from the purchases: a thin one for wide feature work, a dense one.
-LABELS = _LABELLED.format(step=97)
-LABELS_DENSE = _LABELLED.format(step=7)
 
 # Several fills per (symbol, day); the order line number makes the tie-breaker.
 FILLS = """
@@ -73,10 +71,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, LABELS)
 
 
-def dense_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, LABELS_DENSE)
-
-
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, FILLS)
 

@@ -7,14 +7,13 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.functions.calendar import days_between
 from tickspark.names import CANDIDATE, EVENT_TIME, GROUP, LABEL, NUM_PREV, quoted, regressor_columns, standardised_columns
 from tickspark.operators import panel as pn
 from tickspark.operators import portfolio, ranking
-from tickspark.operators.features import FeatureWindows, event_features, prior_event_count, slices
+from tickspark.operators.features import FeatureWindows, event_features, prior_event_count, slice_totals, slices
 from tickspark.plans import fixtures as fx
 from tickspark.plans.registry import plan, r, rounded, with_sql
-from tickspark.plans.sql import DENSE, LABELS, SCORED, TICKS, features, interval, orders, panel, panel_windows_ctes
+from tickspark.plans.sql import LABELS, SCORED, TICKS, features, interval, orders, panel, panel_windows_ctes
 from tickspark.session import materialise, scratch_path
 from tickspark.sources import events as event_source
 from tickspark.sources import panel_store
@@ -64,7 +63,8 @@ def flow_ranking(spark, sf_dir):
     labelled = rows.join(labels.select(GROUP, "pumped_currency_pair"), GROUP).withColumn(
         LABEL, F.col(CANDIDATE) == F.col("pumped_currency_pair")
     )
-    scored = ranking.score_table(labelled, F.col("`flow_imbalance@7D`"))
+    # The metrics read scores twice: stored, they cost one feature build.
+    scored = materialise(ranking.score_table(labelled, F.col("`flow_imbalance@7D`")), "scores")
     return rounded(ranking.top_k(scored))
 
 
@@ -137,39 +137,21 @@ _register_family("a12", "target_return", list(fx.PANEL_DECAYS))
     "j01_event_tick_range_join",
     with_sql(
         TICKS,
-        DENSE,
+        LABELS,
         select=f"""SELECT e.pump_hash, count(*) AS fills, {r('sum(t.price * t.quantity)', 'quote')}
         FROM labelled e JOIN ticks t ON t.trade_time BETWEEN e.pump_time - INTERVAL 30 DAY AND e.pump_time + INTERVAL 1 HOUR GROUP BY e.pump_hash""",
     ),
 )
 def event_tick_range_join(spark, sf_dir):
     """Market volume in every event's slice: hourly totals for whole hours, fills only in the two cut hours."""
-    ticks = fx.ticks(spark, sf_dir).withColumn("hour", F.window("trade_time", "1 hour").getField("start"))
-    cut = slices(fx.dense_labels(spark, sf_dir), FeatureWindows(offsets={}, decays={}))
-    quote = F.col("price") * F.col("quantity")
-    hours = ticks.groupBy("hour").agg(F.count("*").alias("fills"), F.sum(quote).alias("quote"))
-    dated = cut.withColumn("date", F.explode(days_between(F.col("slice_start"), F.col("slice_stop"))))
-    whole = (
-        hours.withColumn("date", F.to_date("hour"))
-        .join(dated, "date")
-        .where((F.col("hour") > F.col("slice_hours")[0]) & (F.col("hour") < F.element_at("slice_hours", -1)))
-        .select(GROUP, "fills", "quote")
-    )
-    edges = cut.withColumn("hour", F.explode("slice_hours"))
-    parts = (
-        ticks.join(edges, "hour")
-        .where(F.col("trade_time").between(F.col("slice_start"), F.col("slice_stop")))
-        .select(GROUP, F.lit(1).cast("bigint").alias("fills"), quote.alias("quote"))
-    )
-    return rounded(
-        whole.unionByName(parts).groupBy(GROUP).agg(F.sum("fills").alias("fills"), F.sum("quote").alias("quote"))
-    )
+    events = slices(fx.labels(spark, sf_dir), FeatureWindows(offsets={}, decays={}))
+    return rounded(slice_totals(fx.ticks(spark, sf_dir), events))
 
 
 @plan(
     "j11_prior_events",
     with_sql(
-        DENSE,
+        LABELS,
         (
             "pairs",
             """SELECT e.pump_hash, s.symbol, e.pump_time FROM labelled e
@@ -180,7 +162,7 @@ def event_tick_range_join(spark, sf_dir):
     ),
 )
 def prior_events(spark, sf_dir):
-    labels = fx.dense_labels(spark, sf_dir)
+    labels = fx.labels(spark, sf_dir)
     symbols = labels.select(F.col("pumped_currency_pair").alias(CANDIDATE), F.to_date(EVENT_TIME).alias("d")).distinct()
     candidates = labels.withColumn("d", F.to_date(EVENT_TIME)).join(symbols, "d").select(GROUP, EVENT_TIME, CANDIDATE)
     return prior_event_count(candidates, labels).select(GROUP, CANDIDATE, NUM_PREV)
@@ -221,7 +203,7 @@ _GHOSTS = "SELECT pump_hash, CASE WHEN CAST(regexp_extract(pump_hash, '([0-9]+)$
 @plan(
     "s11_dropped_events",
     with_sql(
-        DENSE,
+        LABELS,
         ("marked", _GHOSTS),
         select="""SELECT pumped_currency_pair AS currency_pair, strftime(pump_time, '%Y-%m-%dT%H:%M:%S') AS time, 'BINANCE_SPOT' AS exchange
         FROM marked WHERE pumped_currency_pair = 'NONE-BTC'""",
@@ -230,7 +212,7 @@ _GHOSTS = "SELECT pump_hash, CASE WHEN CAST(regexp_extract(pump_hash, '([0-9]+)$
 def dropped_events(spark, sf_dir):
     number = F.regexp_extract(GROUP, r"([0-9]+)$", 1).cast("bigint")
     target = F.when(number % 2 == 0, "NONE-BTC").otherwise(F.col("pumped_currency_pair"))
-    labels = fx.dense_labels(spark, sf_dir)
+    labels = fx.labels(spark, sf_dir)
     marked = labels.withColumn("pumped_currency_pair", target)
     present = labels.select(GROUP, F.col("pumped_currency_pair").alias(CANDIDATE))
     path = scratch_path(spark, "dropped")
@@ -281,10 +263,10 @@ def regressors(spark, sf_dir):
 
 @plan(
     "w02_group_ids",
-    with_sql(DENSE, select="SELECT pump_hash, row_number() OVER (ORDER BY pump_time, pump_hash) - 1 AS pump_id FROM labelled"),
+    with_sql(LABELS, select="SELECT pump_hash, row_number() OVER (ORDER BY pump_time, pump_hash) - 1 AS pump_id FROM labelled"),
 )
 def group_ids(spark, sf_dir):
-    return pn.group_ids(fx.dense_labels(spark, sf_dir))
+    return pn.group_ids(fx.labels(spark, sf_dir))
 
 
 _RANKS = (
@@ -341,7 +323,7 @@ def standardise_plain(spark, sf_dir):
     return rounded(df.select(GROUP, CANDIDATE, *[quoted(c) for c in _PLAIN]))
 
 
-def _filled_sql(columns, source: str, digits: int = 9) -> str:
+def _filled_sql(columns, source: str, digits: int = 6) -> str:
     parts = [
         r(f'coalesce(CAST("{c}" AS DOUBLE), median(CAST("{c}" AS DOUBLE)) OVER (PARTITION BY pump_hash), (SELECT median(CAST("{c}" AS DOUBLE)) FROM {source}))', c, digits)
         for c in columns
@@ -356,7 +338,7 @@ _FILLED = regressor_columns(SLUGS)
 def median_fill(spark, sf_dir):
     clipped = pn.clip_tail_exponents(build_panel(spark, sf_dir), SLUGS)
     df = pn.fill_with_medians(clipped, _FILLED)
-    return rounded(df.select(GROUP, CANDIDATE, *[quoted(c) for c in _FILLED]), 9)
+    return rounded(df.select(GROUP, CANDIDATE, *[quoted(c) for c in _FILLED]))
 
 
 @plan(
@@ -379,13 +361,13 @@ _BOUNDARIES = [datetime(2024, 1, 15), datetime(2024, 1, 22)]
 @plan(
     "u03_time_split",
     with_sql(
-        DENSE,
+        LABELS,
         select="""SELECT pump_hash, CASE WHEN pump_time < TIMESTAMP '2024-01-15' THEN 'TRAIN' WHEN pump_time < TIMESTAMP '2024-01-22' THEN 'VALIDATION'
         ELSE 'TEST' END AS split FROM labelled""",
     ),
 )
 def time_split(spark, sf_dir):
-    return pn.split_by_time(fx.dense_labels(spark, sf_dir), _BOUNDARIES).select(GROUP, "split")
+    return pn.split_by_time(fx.labels(spark, sf_dir), _BOUNDARIES).select(GROUP, "split")
 
 
 @plan(
@@ -434,13 +416,13 @@ def cross_sections(spark, sf_dir):
 @plan(
     "a33_prior_event_histogram",
     with_sql(
-        DENSE,
+        LABELS,
         ("counted", "SELECT a.pump_hash, count(b.pump_hash) AS num_prev_pump FROM labelled a LEFT JOIN labelled b ON a.pumped_currency_pair = b.pumped_currency_pair AND b.pump_time < a.pump_time GROUP BY a.pump_hash"),
         select='SELECT num_prev_pump, count(*) AS "count" FROM counted GROUP BY num_prev_pump',
     ),
 )
 def prior_event_histogram(spark, sf_dir):
-    labels = fx.dense_labels(spark, sf_dir)
+    labels = fx.labels(spark, sf_dir)
     own = labels.select(GROUP, EVENT_TIME, F.col("pumped_currency_pair").alias(CANDIDATE))
     return pn.value_counts(prior_event_count(own, labels), NUM_PREV)
 

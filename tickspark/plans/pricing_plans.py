@@ -12,7 +12,7 @@ from tickspark.names import CANDIDATE, EVENT_TIME, GROUP, LABEL, SCORE, TARGET
 from tickspark.operators import asof, bars, impact, orders, portfolio
 from tickspark.plans import fixtures as fx
 from tickspark.plans.registry import plan, r, rounded, with_sql
-from tickspark.plans.sql import DENSE, TICKS
+from tickspark.plans.sql import LABELS, TICKS
 from tickspark.plans.sql import orders as orders_cte
 from tickspark.plans.tick_plans import CANDLE_SQL
 from tickspark.sources.candles import deduplicate
@@ -36,7 +36,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     volume = fx.ticks(spark, sf_dir).groupBy("symbol", F.to_date("trade_time").alias("d")).agg(
         F.round(F.sum(F.col("price") * F.col("quantity")) + F.lit(1e-6), 3).alias(SCORE)
     )
-    labels = fx.dense_labels(spark, sf_dir).withColumn("d", F.to_date(EVENT_TIME))
+    labels = fx.labels(spark, sf_dir).withColumn("d", F.to_date(EVENT_TIME))
     return labels.join(volume, "d").select(
         GROUP,
         EVENT_TIME,
@@ -57,7 +57,7 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def own_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event's own target as a leg."""
-    return fx.dense_labels(spark, sf_dir).withColumn(CANDIDATE, F.col(TARGET))
+    return fx.labels(spark, sf_dir).withColumn(CANDIDATE, F.col(TARGET))
 
 
 _TOP = (
@@ -86,10 +86,10 @@ ASOF LEFT JOIN orders o ON l.symbol = o.symbol AND l.t {test} o.trade_time"""
 
 @plan(
     "j02_asof_backward",
-    with_sql(TICKS, DENSE, orders_cte(), select=_ASOF.format(price="price_last", shift="- INTERVAL 15 MINUTE", test=">=")),
+    with_sql(TICKS, LABELS, orders_cte(), select=_ASOF.format(price="price_last", shift="- INTERVAL 15 MINUTE", test=">=")),
 )
 def asof_backward(spark, sf_dir):
-    points = fx.dense_labels(spark, sf_dir).select(
+    points = fx.labels(spark, sf_dir).select(
         GROUP, F.col(TARGET).alias("symbol"), (F.col(EVENT_TIME) - F.lit(timedelta(minutes=15))).alias("trade_time")
     )
     series = market(spark, sf_dir).withColumnRenamed("price_last", "price")
@@ -98,10 +98,10 @@ def asof_backward(spark, sf_dir):
 
 @plan(
     "j03_asof_forward",
-    with_sql(TICKS, DENSE, orders_cte(), select=_ASOF.format(price="price_first", shift="+ INTERVAL 1 MINUTE", test="<=")),
+    with_sql(TICKS, LABELS, orders_cte(), select=_ASOF.format(price="price_first", shift="+ INTERVAL 1 MINUTE", test="<=")),
 )
 def asof_forward(spark, sf_dir):
-    points = fx.dense_labels(spark, sf_dir).select(
+    points = fx.labels(spark, sf_dir).select(
         GROUP, F.col(TARGET).alias("symbol"), (F.col(EVENT_TIME) + F.lit(timedelta(minutes=1))).alias("trade_time")
     )
     series = market(spark, sf_dir).withColumnRenamed("price_first", "price")
@@ -130,7 +130,7 @@ def _leg_prices_cte(source: str = "portfolio", before: str = "INTERVAL 15 MINUTE
     "j04_leg_prices",
     with_sql(
         TICKS,
-        DENSE,
+        LABELS,
         orders_cte(),
         _CANDIDATES,
         _TOP,
@@ -190,7 +190,7 @@ def currency_conversion(spark, sf_dir):
     "w11_buy_and_hold",
     with_sql(
         TICKS,
-        DENSE,
+        LABELS,
         _RATES,
         _rate_lookup("looked", "labelled", "pump_time"),
         select=f"""SELECT l.pump_hash, l.pump_time, {r('coalesce(x.rate / lag(x.rate) OVER (ORDER BY l.pump_time, l.pump_hash) - 1, 0)', 'portfolio_return')}
@@ -198,7 +198,7 @@ def currency_conversion(spark, sf_dir):
     ),
 )
 def buy_and_hold(spark, sf_dir):
-    return rounded(asof.buy_and_hold(fx.dense_labels(spark, sf_dir), rates(spark, sf_dir)))
+    return rounded(asof.buy_and_hold(fx.labels(spark, sf_dir), rates(spark, sf_dir)))
 
 
 @plan(
@@ -361,7 +361,7 @@ def leg_rates(spark, sf_dir, legs):
     "a22_lookback_fit",
     with_sql(
         TICKS,
-        DENSE,
+        LABELS,
         _RATES,
         _EVENT_RATES,
         _OWN,
@@ -379,7 +379,7 @@ def lookback_fit(spark, sf_dir):
     "a23_exit_fit",
     with_sql(
         TICKS,
-        DENSE,
+        LABELS,
         _RATES,
         _EVENT_RATES,
         _OWN,
@@ -397,7 +397,7 @@ def exit_fit(spark, sf_dir):
     "a23_ten_minute_exit_fit",
     with_sql(
         TICKS,
-        DENSE,
+        LABELS,
         _RATES,
         _EVENT_RATES,
         _OWN,
@@ -415,7 +415,7 @@ def ten_minute_exit_fit(spark, sf_dir):
     "a24_best_entry_example",
     with_sql(
         TICKS,
-        DENSE,
+        LABELS,
         _RATES,
         _EVENT_RATES,
         _OWN,
@@ -447,7 +447,7 @@ def best_entry_example(spark, sf_dir):
     "a24_best_exit_example",
     with_sql(
         TICKS,
-        DENSE,
+        LABELS,
         _RATES,
         _EVENT_RATES,
         _OWN,
@@ -505,7 +505,7 @@ def _execution(sizes: str, with_impact: bool) -> list[tuple[str, str]]:
     )
     return [
         TICKS,
-        DENSE,
+        LABELS,
         orders_cte(),
         _CANDIDATES,
         _TOP,
@@ -590,7 +590,7 @@ def backtest_with_impact(spark, sf_dir):
     return rounded(stats)
 
 
-@plan("a27_has_target", with_sql(TICKS, DENSE, _CANDIDATES, _TOP, select="SELECT pump_hash, bool_or(is_pumped) AS has_pump FROM portfolio GROUP BY pump_hash"))
+@plan("a27_has_target", with_sql(TICKS, LABELS, _CANDIDATES, _TOP, select="SELECT pump_hash, bool_or(is_pumped) AS has_pump FROM portfolio GROUP BY pump_hash"))
 def has_target(spark, sf_dir):
     return portfolio.has_target(portfolio.select_top_k(candidates(spark, sf_dir), 3))
 
@@ -631,7 +631,7 @@ def _sweep_sql() -> str:
                 parts.append(f"SELECT {size} AS portfolio_size, {before * 60}.0::DOUBLE AS buy_before_s, {after * 60}.0::DOUBLE AS sell_after_s, * FROM ({priced})")
     return with_sql(
         TICKS,
-        DENSE,
+        LABELS,
         orders_cte(),
         _CANDIDATES,
         _TOP,

@@ -13,7 +13,7 @@ from tickspark.plans import fixtures as fx
 from tickspark.plans.registry import plan, r, rounded, with_sql
 from tickspark.plans.sql import SCORED
 
-REPLICATES = 200
+REPLICATES = 1000
 SEED = 42
 
 
@@ -375,7 +375,7 @@ def bootstrap_auc(spark, sf_dir):
         *_draws("diffs", "avg(diff) AS diff"),
         select=f"""SELECT 'topk_percent_auc' AS metric, {r('(SELECT avg(diff) FROM diffs)', 'observed_diff')}, {r('avg(diff)', 'mean_diff_bootstrap')},
         {r('quantile_cont(diff, 0.025)', 'ci_lower')}, {r('quantile_cont(diff, 0.975)', 'ci_upper')},
-        {r('least(1.0, 2 * least(avg(CAST(diff <= 0 AS INT)), avg(CAST(diff >= 0 AS INT))))', 'p_value')},
+        {r('least(1.0, 2 * least(avg(CAST(round(diff, 12) <= 0 AS INT)), avg(CAST(round(diff, 12) >= 0 AS INT))))', 'p_value')},
         'two-sided' AS alternative, {REPLICATES} AS n_bootstrap, CAST(0.05 AS DOUBLE) AS alpha FROM means""",
     ),
 )

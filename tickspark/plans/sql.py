@@ -11,7 +11,6 @@ from tickspark.plans.registry import r, ratio_sql
 TICKS = ("ticks", fx.TICKS)
 FILLS = ("fills", fx.FILLS)
 LABELS = ("labelled", fx.LABELS)
-DENSE = ("labelled", fx.LABELS_DENSE)
 SCORED = ("scored", fx.SCORED_DUCK)
 
 

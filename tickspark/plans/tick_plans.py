@@ -17,7 +17,7 @@ from tickspark.names import EVENT_TIME, GROUP, TARGET
 from tickspark.operators import bars, orders
 from tickspark.plans import fixtures as fx
 from tickspark.plans.registry import plan, r, ratio_sql, rounded, with_sql
-from tickspark.plans.sql import DENSE, FILLS, TICKS
+from tickspark.plans.sql import LABELS, FILLS, TICKS
 from tickspark.plans.sql import orders as orders_cte
 from tickspark.session import scratch_path
 from tickspark.sources import candles as candle_source
@@ -188,7 +188,7 @@ def price_series(spark, sf_dir):
     "s08_event_universe",
     with_sql(
         TICKS,
-        DENSE,
+        LABELS,
         (
             "active",
             """SELECT DISTINCT e.pump_hash, t.symbol FROM labelled e
@@ -202,7 +202,7 @@ def event_universe(spark, sf_dir):
     stored = fx.ticks(spark, sf_dir).withColumn("date", F.to_date("trade_time"))
     t = F.col(EVENT_TIME)
     active = tick_source.active_symbols(
-        stored, fx.dense_labels(spark, sf_dir), t - F.lit(timedelta(days=2)), t + F.lit(timedelta(hours=1))
+        stored, fx.labels(spark, sf_dir), t - F.lit(timedelta(days=2)), t + F.lit(timedelta(hours=1))
     )
     return active.groupBy(GROUP).agg(
         F.count("*").alias("symbols"), F.min("symbol").alias("first_symbol"), F.max("symbol").alias("last_symbol")
@@ -212,14 +212,14 @@ def event_universe(spark, sf_dir):
 @plan(
     "s09_label_file",
     with_sql(
-        DENSE,
+        LABELS,
         select="""SELECT concat(pumped_currency_pair, ':BINANCE_SPOT:', strftime(pump_time, '%Y-%m-%dT%H-%M-%S')) AS pump_hash,
         pumped_currency_pair, date_trunc('second', pump_time) AS pump_time, 'BINANCE_SPOT' AS exchange FROM labelled""",
     ),
 )
 def label_file(spark, sf_dir):
     path = scratch_path(spark, "labels")
-    fx.dense_labels(spark, sf_dir).select(
+    fx.labels(spark, sf_dir).select(
         F.col(TARGET).alias("symbol"),
         F.date_format(EVENT_TIME, "yyyy-MM-dd HH:mm:ss").alias("time"),
         F.lit("binance_spot").alias("exchange"),
