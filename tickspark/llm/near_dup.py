@@ -86,7 +86,7 @@ def sketch(sets: list[np.ndarray], bins: int) -> np.ndarray:
 
 def band_keys(sketches: np.ndarray, rows: int) -> np.ndarray:
     n, bins = sketches.shape
-    parts = sketches[:, : bins // rows * rows].reshape(n, -1, rows)
+    parts = sketches[:, : bins // rows * rows].reshape(n, bins // rows, rows)
     with np.errstate(over="ignore"):
         x = mixed(np.arange(parts.shape[1], dtype=U))[None, :].repeat(n, 0)
         for j in range(rows):
