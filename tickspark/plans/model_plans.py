@@ -98,9 +98,9 @@ _SYNTHETIC = with_sql(
         FROM majority, sizes WHERE slot < n - p""",
     ),
     ("near", "SELECT a.i, b.i AS j, row_number() OVER (PARTITION BY a.i ORDER BY list_distance(a.x, b.x), b.i) AS rank FROM minority a JOIN minority b ON a.i <> b.i"),
-    select=f"""SELECT s.slot, a.vec_id AS base_id, b.vec_id AS neighbour_id, {r('s.step', 'step')}, {r('a.x[1] + s.step * (b.x[1] - a.x[1])', 'x0')},
-    {r('a.x[64] + s.step * (b.x[64] - a.x[64])', 'x63')} FROM slots s JOIN near k ON k.i = s.i AND k.rank = s.rank
-    JOIN minority a ON a.i = k.i JOIN minority b ON b.i = k.j""",
+    select=f"""SELECT s.slot, a.vec_id AS base_id, b.vec_id AS neighbour_id, {r('s.step', 'step')},
+    {', '.join(r(f'a.x[{i + 1}] + s.step * (b.x[{i + 1}] - a.x[{i + 1}])', c) for i, c in enumerate(COLUMNS))}
+    FROM slots s JOIN near k ON k.i = s.i AND k.rank = s.rank JOIN minority a ON a.i = k.i JOIN minority b ON b.i = k.j""",
 )
 
 
@@ -108,7 +108,7 @@ _SYNTHETIC = with_sql(
 def synthetic_minority(spark, sf_dir):
     rows = vectors(spark, sf_dir).withColumn(LABEL, F.col("label") < 3)
     made = oversample.synthetic_minority(rows, COLUMNS, id_="vec_id")
-    return rounded(made.select(F.col("_slot").alias("slot"), "base_id", "neighbour_id", "step", "x0", "x63"))
+    return rounded(made.select(F.col("_slot").alias("slot"), "base_id", "neighbour_id", "step", *COLUMNS))
 
 
 @plan(

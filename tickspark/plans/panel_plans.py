@@ -88,6 +88,13 @@ def reference_windows(spark, sf_dir):
     return rounded(event_features(fx.ticks(spark, sf_dir), fx.labels(spark, sf_dir), _REFERENCE))
 
 
+_ZSCORES = [f"{family}@{s}" for family in ("asset_return_zscore", "quote_abs_zscore") for s in SLUGS]
+
+
+def _quoted_sql(column: str) -> str:
+    return f'"{column}"'
+
+
 _PRE = FeatureWindows(offsets=fx.PANEL_WINDOWS.offsets, decays={}, horizon=timedelta(days=5), baseline="pre")
 
 
@@ -98,13 +105,13 @@ _PRE = FeatureWindows(offsets=fx.PANEL_WINDOWS.offsets, decays={}, horizon=timed
         LABELS,
         orders(),
         *features(_PRE, baseline="bar_time < pump_time"),
-        select="SELECT pump_hash, currency_pair, \"asset_return_zscore@7D\", \"quote_abs_zscore@7D\" FROM features",
+        select=f"SELECT pump_hash, currency_pair, {', '.join(_quoted_sql(c) for c in _ZSCORES)} FROM features",
     ),
 )
 def pre_event_baseline(spark, sf_dir):
     """The z-scores without look-ahead: only bars that start before the event set the baseline."""
     rows = event_features(fx.ticks(spark, sf_dir), fx.labels(spark, sf_dir), _PRE)
-    return rounded(rows.select(GROUP, CANDIDATE, "`asset_return_zscore@7D`", "`quote_abs_zscore@7D`"))
+    return rounded(rows.select(GROUP, CANDIDATE, *[quoted(c) for c in _ZSCORES]))
 
 
 def _family(name: str, slugs=SLUGS) -> str:
@@ -170,31 +177,23 @@ def prior_events(spark, sf_dir):
 
 # --- Stores --------------------------------------------------------------------------------------------
 
-_SUMMARY = """SELECT pump_hash, count(*) AS candidates, sum("num_trades@7D") AS trades, round(sum("flow_imbalance@7D") + 1e-9, 6) + 0.0 AS flow FROM {source} GROUP BY pump_hash"""
-
-
-def _summary(df: DataFrame) -> DataFrame:
-    return df.groupBy(GROUP).agg(
-        F.count("*").alias("candidates"),
-        F.sum("`num_trades@7D`").alias("trades"),
-        (F.round(F.sum("`flow_imbalance@7D`") + F.lit(1e-9), 6) + F.lit(0.0)).alias("flow"),
-    )
-
-
-@plan("s10_feature_store", with_sql(*panel_windows_ctes(), select=_SUMMARY.format(source="features")))
+@plan("s10_feature_store", with_sql(*panel_windows_ctes(), select="SELECT * FROM features"))
 def feature_store(spark, sf_dir):
     path = scratch_path(spark, "features")
     panel_store.write_features(rounded(panel_features(spark, sf_dir)), path)
-    return _summary(panel_store.read_features(spark, path))
+    return panel_store.read_features(spark, path)
+
+
+_ASSEMBLED = [GROUP, CANDIDATE, LABEL, *regressor_columns(SLUGS)]
 
 
-@plan("s11_u01_panel_assembly", with_sql(*panel(), select=_SUMMARY.format(source="panel")))
+@plan("s11_u01_panel_assembly", with_sql(*panel(), select=f"SELECT {', '.join(_quoted_sql(c) for c in _ASSEMBLED)} FROM panel"))
 def panel_assembly(spark, sf_dir):
     labels = fx.labels(spark, sf_dir)
     rows = materialise(rounded(panel_features(spark, sf_dir)), "features")
     # Two stores of features, as separate runs leave them, read as one panel.
     halves = [rows.where(F.crc32(F.col(GROUP)) % 2 == i) for i in range(2)]
-    return _summary(pn.assemble_panel(pn.union_panels(halves), labels))
+    return pn.assemble_panel(pn.union_panels(halves), labels).select(*[quoted(c) for c in _ASSEMBLED])
 
 
 _GHOSTS = "SELECT pump_hash, CASE WHEN CAST(regexp_extract(pump_hash, '([0-9]+)$', 1) AS BIGINT) % 2 = 0 THEN 'NONE-BTC' ELSE pumped_currency_pair END AS pumped_currency_pair, pump_time FROM labelled"
@@ -459,6 +458,12 @@ def _variant_sql(variant: str) -> str:
         source = "filled_after"
     # Medians of two six-digit values have seven digits, so seven never rounds a tie.
     columns = ", ".join(r(f'"{c}"', c, 7) for c in _FILLED)
+    if variant == "ranker":
+        rank = """(rank() OVER (PARTITION BY pump_hash ORDER BY v DESC) + (count(*) OVER (PARTITION BY pump_hash, v) - 1) / 2.0)
+        / count(*) OVER (PARTITION BY pump_hash)"""
+        ctes.append(("valued", f'SELECT pump_hash, currency_pair, is_pumped, coalesce("{RANKED}", 0) AS v FROM kept'))
+        ctes.append(("ranked", f"SELECT pump_hash, currency_pair, is_pumped, {r(rank, 'asset_return_rank', 7)} FROM valued"))
+        return with_sql(*ctes, select=f"SELECT pump_hash, currency_pair, is_pumped, asset_return_rank, {columns} FROM scaled JOIN ranked USING (pump_hash, currency_pair)")
     return with_sql(*ctes, select=f"SELECT pump_hash, currency_pair, {columns} FROM {source}")
 
 
@@ -485,10 +490,10 @@ def preprocess_oversampled(spark, sf_dir):
     return rounded(df.select(GROUP, CANDIDATE, *[quoted(c) for c in _FILLED]), 7)
 
 
-@plan("l01_preprocess_ranker")
+@plan("l01_preprocess_ranker", _variant_sql("ranker"))
 def preprocess_ranker(spark, sf_dir):
     df = preprocessed(spark, sf_dir, "ranker")
-    return rounded(df.select(GROUP, CANDIDATE, LABEL, "asset_return_rank"))
+    return rounded(df.select(GROUP, CANDIDATE, LABEL, "asset_return_rank", *[quoted(c) for c in _FILLED]), 7)
 
 
 @plan(
@@ -502,3 +507,23 @@ def preprocess_ranker(spark, sf_dir):
 def top_k_portfolio(spark, sf_dir):
     chosen = portfolio.select_top_k(fx.scored(spark, sf_dir), 5)
     return rounded(chosen.select(GROUP, CANDIDATE, "rank", "weight"))
+
+
+_UNSCORED = "CASE WHEN score_b > 0.9 THEN CAST('nan' AS DOUBLE) WHEN score_b >= 0.1 THEN score END"
+
+
+@plan(
+    "t01_unscored_candidates",
+    with_sql(
+        SCORED,
+        ("partly", f"SELECT pump_hash, currency_pair, {_UNSCORED} AS s FROM scored"),
+        select=f"""SELECT pump_hash, currency_pair, rank, {r('1.0 / count(*) OVER (PARTITION BY pump_hash)', 'weight')} FROM
+        (SELECT *, row_number() OVER (PARTITION BY pump_hash ORDER BY CASE WHEN NOT isnan(s) THEN s END DESC NULLS LAST, currency_pair) AS rank FROM partly)
+        WHERE rank <= 5""",
+    ),
+)
+def unscored_candidates(spark, sf_dir):
+    """NULL and NaN scores rank behind every number."""
+    partly = fx.scored(spark, sf_dir).withColumn("score", F.expr(_UNSCORED))
+    chosen = portfolio.select_top_k(partly, 5)
+    return rounded(chosen.select(GROUP, CANDIDATE, "rank", "weight"))

@@ -660,17 +660,17 @@ def timing_sweep(spark, sf_dir):
 
 # --- Equity ------------------------------------------------------------------------------------------------------
 
+_MODELS = ("click", "error", "purchase", "signup", "view")
 _CURVES = (
     "curves",
-    """SELECT CASE event_type WHEN 'click' THEN 'a' ELSE 'b' END AS model, CAST(event_id AS VARCHAR) AS pump_hash, ts AS time, (value - 20) / 1000 AS portfolio_return
-    FROM events WHERE event_type IN ('click', 'view')""",
+    "SELECT event_type AS model, CAST(event_id AS VARCHAR) AS pump_hash, ts AS time, (value - 20) / 1000 AS portfolio_return FROM events",
 )
 
 
 def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two models' event returns, taken from two kinds of events."""
-    return fx.table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view")).select(
-        F.when(F.col("event_type") == "click", "a").otherwise("b").alias("model"),
+    """Event returns of five models, one for each kind of events."""
+    return fx.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("model"),
         F.col("event_id").cast("string").alias(GROUP),
         F.col("ts").alias("time"),
         ((F.col("value") - 20) / 1000).alias("portfolio_return"),
@@ -708,9 +708,11 @@ def cumulative_returns(spark, sf_dir):
     "j09_aligned_curves",
     with_sql(
         _CURVES,
-        select=f"""SELECT time, {r("sum(portfolio_return) FILTER (WHERE model = 'a')", 'a')}, {r("sum(portfolio_return) FILTER (WHERE model = 'b')", 'b')} FROM curves GROUP BY time""",
+        select="SELECT time, "
+        + ", ".join(r(f"sum(portfolio_return) FILTER (WHERE model = '{m}')", m) for m in _MODELS)
+        + " FROM curves GROUP BY time",
     ),
 )
 def aligned_curves(spark, sf_dir):
     both = curves(spark, sf_dir)
-    return rounded(portfolio.align_curves({m: both.where(F.col("model") == m) for m in ("a", "b")}))
+    return rounded(portfolio.align_curves({m: both.where(F.col("model") == m) for m in _MODELS}))

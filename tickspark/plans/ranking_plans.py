@@ -362,9 +362,10 @@ def bootstrap_auc(spark, sf_dir):
     return rounded(inference.bootstrap_auc(fx.scored(spark, sf_dir), replicates=REPLICATES, seed=SEED))
 
 
-@plan(
-    "m15_paired_auc_test",
-    with_sql(
+def _paired_sql(alternative: str) -> str:
+    at_most, at_least = "avg(CAST(round(diff, 12) <= 0 AS INT))", "avg(CAST(round(diff, 12) >= 0 AS INT))"
+    p_value = {"greater": at_most, "less": at_least, "two-sided": f"least(1.0, 2 * least({at_most}, {at_least}))"}[alternative]
+    return with_sql(
         SCORED,
         _ranks("ranks_a", "score"),
         _ranks("ranks_b", "score_b"),
@@ -374,17 +375,25 @@ def bootstrap_auc(spark, sf_dir):
         ("diffs", "SELECT a.pump_hash, a.area - b.area AS diff FROM areas_a a JOIN areas_b b ON a.pump_hash = b.pump_hash"),
         *_draws("diffs", "avg(diff) AS diff"),
         select=f"""SELECT 'topk_percent_auc' AS metric, {r('(SELECT avg(diff) FROM diffs)', 'observed_diff')}, {r('avg(diff)', 'mean_diff_bootstrap')},
-        {r('quantile_cont(diff, 0.025)', 'ci_lower')}, {r('quantile_cont(diff, 0.975)', 'ci_upper')},
-        {r('least(1.0, 2 * least(avg(CAST(round(diff, 12) <= 0 AS INT)), avg(CAST(round(diff, 12) >= 0 AS INT))))', 'p_value')},
-        'two-sided' AS alternative, {REPLICATES} AS n_bootstrap, CAST(0.05 AS DOUBLE) AS alpha FROM means""",
-    ),
-)
-def paired_auc_test(spark, sf_dir):
-    return rounded(
-        inference.paired_auc_test(fx.scored(spark, sf_dir), scored_b(spark, sf_dir), replicates=REPLICATES, seed=SEED)
+        {r('quantile_cont(diff, 0.025)', 'ci_lower')}, {r('quantile_cont(diff, 0.975)', 'ci_upper')}, {r(p_value, 'p_value')},
+        '{alternative}' AS alternative, {REPLICATES} AS n_bootstrap, CAST(0.05 AS DOUBLE) AS alpha FROM means""",
     )
 
 
+def _register_paired(name: str, alternative: str) -> None:
+    @plan(name, _paired_sql(alternative))
+    def paired_auc_test(spark, sf_dir, alternative=alternative):
+        tested = inference.paired_auc_test(
+            fx.scored(spark, sf_dir), scored_b(spark, sf_dir), replicates=REPLICATES, seed=SEED, alternative=alternative
+        )
+        return rounded(tested)
+
+
+_register_paired("m15_paired_auc_test", "two-sided")
+_register_paired("m15_paired_auc_greater", "greater")
+_register_paired("m15_paired_auc_less", "less")
+
+
 @plan(
     "j08_group_alignment",
     with_sql(
