@@ -7,11 +7,13 @@ fills, and two sketches agree in a coordinate with probability equal to the sets
 independent draws. Most sets need two or three rounds.
 
 Coordinates are banded. Documents with equal sets form one class, and only class representatives are banded. In
-each bucket every member is paired with one leader; verified pairs give components; then members of one bucket
-that are still in different components are paired with each other. So each pair that shares a bucket has been
-compared or is known to be connected, without all pairs of a large bucket. Pairs whose sketches agree in less than
-``min_agree`` of the coordinates are left out (eight deviations below what the threshold gives); the rest are
-confirmed on their full sets. With 32 bands of four, a pair at 0.8 shares no bucket with probability 5e-8.
+each bucket every member is paired with the leader, the member that shares most buckets with others (in a group of
+edited copies the original); verified pairs give components. Then what is still apart is compared: members whose
+buckets mostly have the same leader form a family, which is brought together and compared without making a row for
+each pair; members of one bucket but different families are paired. So each pair that shares a bucket has been compared
+or is known to be connected. Outside families, pairs whose sketches agree in less than ``min_agree`` of the coordinates
+are left out (five and a half deviations below what the threshold gives); the rest are confirmed on their full sets.
+With 32 bands of four, a pair at 0.8 shares no bucket with probability 5e-8.
 
 Edge cases: NULL and wordless texts have an empty set and are linked with nothing; a text of fewer than k words is
 one shingle; repeated rows belong to one class and repeat in the result; a NULL doc_id gets the class's smallest
@@ -42,7 +44,11 @@ class NearDupConfig:
     similarity: int = 80  # per cent
     bins: int = 128
     rows: int = 4
-    min_agree: int = 66
+    min_agree: int = 78
+
+
+#: Shingles of a block of documents that are compared in one task; a task holds two blocks.
+BLOCK_SHINGLES = 2_000_000
 
 
 def shingles(words: list[bytes], k: int, hashes: WordHashes) -> np.ndarray:
@@ -163,6 +169,46 @@ def _verified(pairs: DataFrame, texts: DataFrame, cfg: NearDupConfig) -> DataFra
     return both.mapInArrow(confirmed, "a long, b long")
 
 
+def _within_families(placed: DataFrame, reps: DataFrame, texts: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """Links between different components of one family, on full sets.
+
+    A family goes to one task, or, above ``BLOCK_SHINGLES`` shingles, in blocks to a task for each pair of blocks. A
+    pair with neither member in the task's largest component is met, too: each member outside it is held against all.
+    """
+    sized = placed.join(reps.select("node", "n_shingles"), "node")
+    apart = sized.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n_shingles").alias("n"))
+    apart = apart.where("lo != hi").select("family", F.ceil(F.col("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = placed.join(apart, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.withColumn("other", other).select(
+        "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp"
+    )
+
+    def compared(table: pa.Table) -> pa.Table:
+        hashes = WordHashes()
+        nodes, comps = table["node"].to_numpy(), table["comp"].to_numpy()
+        with np.errstate(over="ignore"):
+            sets = [shingles(lowered(t.as_py()), cfg.shingle, hashes) for t in table["text"]]
+        size = np.array([len(x) for x in sets], np.int64)
+        names, at = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.concatenate(([0], np.cumsum(size)[:-1]))
+        values, counts = np.unique(comps, return_counts=True)
+        here = np.zeros(len(names), np.int64)
+        a, b = [], []
+        for k in np.flatnonzero(comps != values[np.argmax(counts)]):
+            own = at[ends[k] : ends[k] + size[k]]
+            here[own] = 1
+            both = np.add.reduceat(here[at], ends)
+            here[own] = 0
+            linked = (comps != comps[k]) & (100 * both >= cfg.similarity * (size + size[k] - both))
+            b += nodes[linked].tolist()
+            a += [int(nodes[k])] * int(linked.sum())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    brought = dealt.join(texts, "node").select("family", "i", "j", "node", "comp", "text")
+    return brought.groupBy("family", "i", "j").applyInArrow(compared, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, cfg: NearDupConfig = NearDupConfig(), doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -186,37 +232,35 @@ def near_duplicates(
         ),
         "near-representatives",
     )
+    # every bucket with company, and as its leader the member that shares most buckets with most others
     placed = reps.select("node", F.explode("bands").alias("bucket"))
-    buckets = placed.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = with_size_check(buckets.select("bucket", "leader"), "near-buckets", 300_000)
-    led = placed.join(shared, "bucket").where("node != leader")
-    first_pairs = led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    round_1 = materialise(_promising(first_pairs, reps, cfg), "near-pairs")
-    used = with_size_check(round_1.select("a").union(round_1.select("b")).distinct().toDF("node"), "near-used")
-    texts_of = reps.join(used, "node").select("node", "doc_id", "text_hash")
-    texts = materialise(_texts(source, texts_of), "near-texts")
-    links = materialise(_verified(round_1, texts, cfg), "near-links")
+    counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialise(placed.join(with_size_check(counts, "near-buckets"), "bucket"), "near-shared")
+    score = shared.groupBy("node").agg(F.sum(F.log("n")).alias("score"))
+    leaders = shared.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("best"))
+    led = materialise(
+        shared.join(leaders, "bucket").select("bucket", "node", F.col("best.node").alias("leader")), "near-led"
+    )
+    first_pairs = led.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    texts = materialise(_texts(source, led.select("node").distinct().join(reps, "node").select("node", "doc_id", "text_hash")), "near-texts")
+    links = materialise(_verified(_promising(first_pairs, reps, cfg), texts, cfg), "near-links")
     comp = components(links)
 
-    # what shares a bucket with members of another component
-    in_shared = placed.join(shared.select("bucket"), "bucket").join(comp, "node", "left")
-    members = materialise(in_shared.withColumn("comp", F.coalesce("comp", "node")), "near-members")
-    mixed_up = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    # what is still apart: inside the family of one leader, compared where the family is brought together
+    often = led.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
+    family = often.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("most"))
+    placed_in = family.select("node", F.col("most.leader").alias("family")).join(comp, "node", "left")
+    placed_in = materialise(placed_in.withColumn("comp", F.coalesce("comp", "node")), "near-families")
+    links = links.union(_within_families(placed_in, reps, texts, cfg))
+    # and across families, pair by pair
+    members = led.select("bucket", "node").join(placed_in, "node")
+    mixed_up = members.groupBy("bucket").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo != hi")
     members = members.join(mixed_up.select("bucket"), "bucket")
-    one, two = members.toDF("bucket", "a", "comp_a"), members.toDF("bucket", "b", "comp_b")
-    cross = one.join(two, "bucket").where("comp_a < comp_b").select("a", "b").distinct()
-    flipped = round_1.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    cross = cross.join(round_1, ["a", "b"], "left_anti").join(flipped, ["a", "b"], "left_anti")
-    round_2 = materialise(_promising(cross, reps, cfg), "near-pairs")
-    if not round_2.isEmpty():
-        used = with_size_check(round_2.select("a").union(round_2.select("b")).distinct().toDF("node"), "near-used")
-        texts = materialise(
-            _texts(source, reps.join(used, "node").select("node", "doc_id", "text_hash")), "near-texts"
-        )
-        more = materialise(_verified(round_2, texts, cfg), "near-links")
-        if not more.isEmpty():
-            links = links.union(more)
-            comp = components(links)
+    one, two = members.toDF("a", "bucket", "family_a", "comp_a"), members.toDF("b", "bucket", "family_b", "comp_b")
+    cross = one.join(two, "bucket").where("family_a < family_b and comp_a != comp_b").select("a", "b").distinct()
+    more = _verified(_promising(cross, reps, cfg), texts, cfg)
+    links = materialise(links.union(more), "near-links")
+    comp = components(links)
 
     known = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = known.groupBy("comp").agg(F.min("first").alias("component_id"))
