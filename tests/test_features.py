@@ -142,3 +142,42 @@ def test_group_sample_keeps_whole_groups(spark):
     assert sizes == [3, 3, 3]
     with pytest.raises(ValueError):
         pn.sample_groups(df, 0.0, 1)
+
+
+def test_deviation_of_large_levels(spark, at):
+    """Hourly volumes around 1e9 that differ by units: segments must not cancel."""
+    rows = [
+        ("AAA-BTC", at(f"2021-01-01 {h:02d}:30:00"), 1.0, 1.0, 1e9 + h % 3, 1.0, 1.0, 1.0, True) for h in range(2, 22)
+    ]
+    schema = order_frame(spark, at).drop("hour").schema
+    orders = spark.createDataFrame(rows, schema).withColumn("hour", F.window("trade_time", "1 hour").getField("start"))
+    event = spark.createDataFrame(
+        [("E", "AAA-BTC", at("2021-01-01 23:00:00"))], "pump_hash STRING, pumped_currency_pair STRING, pump_time TIMESTAMP_NTZ"
+    )
+    windows = FeatureWindows(
+        offsets={s: INTERVALS[s] for s in ("1H", "2H", "4H", "12H")}, decays={}, lookback=timedelta(hours=22)
+    )
+    row = features_from_orders(orders, event, windows).first()
+    values = [1e9 + h % 3 for h in range(2, 22)]
+    mean = sum(values) / len(values)
+    std = math.sqrt(sum((v - mean) ** 2 for v in values) / (len(values) - 1))
+    inside = [1e9 + h % 3 for h in (20, 21)]
+    assert row["quote_abs_zscore@2H"] == pytest.approx((sum(inside) / 2 - mean) / std, rel=1e-6)
+
+
+def test_preprocessing_refuses_two_positives(spark):
+    columns = [*regressor_columns(["1D"]), "target_return@1MIN"]
+    rows = [("g", "a", True, *[1.0] * len(columns)), ("g", "b", True, *[2.0] * len(columns))]
+    schema = "pump_hash STRING, currency_pair STRING, is_pumped BOOLEAN, " + ", ".join(f"`{c}` DOUBLE" for c in columns)
+    panel = spark.createDataFrame(rows, schema).withColumn("pump_time", F.lit("2021-01-01").cast("timestamp_ntz"))
+    with pytest.raises(ValueError, match="several positives"):
+        pn.preprocess(panel, ["1D"])
+
+
+def test_median_fill_reads_only_what_is_missing(spark):
+    rows = [("a", 1.0, None), ("a", None, None), ("a", 5.0, None), ("b", 7.0, 4.0), ("b", 9.0, 8.0)]
+    panel = spark.createDataFrame(rows, "pump_hash STRING, x DOUBLE, y DOUBLE")
+    filled = pn.fill_with_medians(panel, ["x", "y"])
+    assert sorted(map(tuple, filled.select("pump_hash", "x", "y").collect())) == [
+        ("a", 1.0, 6.0), ("a", 3.0, 6.0), ("a", 5.0, 6.0), ("b", 7.0, 4.0), ("b", 9.0, 8.0)
+    ]

@@ -140,3 +140,18 @@ def test_index_is_dense_after_hash_order(spark):
     df = spark.range(100).withColumn("pump_hash", F.col("id").cast("string"))
     digest, bucket = hash_order("pump_hash", 3)
     assert sorted(r.i for r in dense_index(df, [digest], bucket, "i").collect()) == list(range(100))
+
+
+def test_unscored_rows_are_picked_last(spark):
+    rows = [("g", "a", float("nan")), ("g", "b", 0.1), ("g", "c", None), ("g", "d", 0.9)]
+    scored = spark.createDataFrame(rows, "pump_hash STRING, currency_pair STRING, score DOUBLE")
+    ranked = portfolio.select_top_k(scored, 3).orderBy("rank").collect()
+    assert [r.currency_pair for r in ranked] == ["d", "b", "a"]
+
+
+def test_backtest_stops_without_a_rate(spark, at):
+    ticks, legs, rates = day_setup(spark, at)
+    config = portfolio.ExecutionConfig(portfolio_size=1)
+    market = orders.aggregate_orders(ticks)
+    with pytest.raises(Exception, match="no indicative price for BTC"):
+        portfolio.backtest(legs.drop("weight"), ticks, market, rates.where("rate < 0"), config).collect()

@@ -97,3 +97,14 @@ def test_subperiods_need_enough_events(spark):
     rows = inference.subperiod_metrics(scored, "2024-01-15", min_events=10).collect()
     assert [(r.subperiod, r.n_pumps, r.n_rows) for r in rows] == [("early", 12, 72)]
     assert rows[0]["topk_percent@0.2"] == 1
+
+
+def test_empty_table_has_no_classes(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    row = ranking.classification_table(empty).first()
+    assert row.f1 == 0 and row.balanced_accuracy is None
+
+
+def test_grid_is_steps(spark):
+    bins = ranking.auc_bins()
+    assert len(bins) == 41 and bins[0] == 0 and bins[-1] == 40 * 0.005
