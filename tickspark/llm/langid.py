@@ -80,7 +80,7 @@ def classifier(model: LanguageModel):
 
     def of(text: str | None) -> tuple[str, float, bool]:
         clean = normalise(text) if text else ""
-        if not clean or not coders:
+        if not coders or not any(map(str.isalpha, clean)):
             return UNKNOWN, 0.0, False
         step = model.piece_chars
         pieces = [clean[i : i + step].encode("utf-8", "ignore") for i in range(0, len(clean), step)]

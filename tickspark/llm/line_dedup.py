@@ -104,7 +104,7 @@ def drop_recurring_lines(
         (F.col("fp_a") != F.col("owner.fp_a")) | (F.col("fp_b") != F.col("owner.fp_b"))
     )
     per_doc = gone.groupBy("doc_id", "fp_a", "fp_b").agg(F.collect_set("at").alias("gone"))  # bounded by one document
-    per_doc = with_size_check(per_doc.toDF("id_", "a_", "b_", "gone_"), "line-gone", 100_000)
+    per_doc = with_size_check(per_doc.toDF("id_", "a_", "b_", "gone_"), "line-gone", 300_000)
     a, b = fingerprint(docs[text].cast("string"))
     same = docs[doc_id].cast("long").eqNullSafe(per_doc["id_"]) & (a == per_doc["a_"]) & (b == per_doc["b_"])
     kept = F.array_join(
