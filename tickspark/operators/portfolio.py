@@ -20,14 +20,11 @@ from tickspark.names import (
     EXIT_WINDOW,
     GROUP,
     IMPACT_LOOKBACK_DAYS,
-    LABEL,
     ORDER_USDT,
     PRICE_RADIUS,
     ROUND_TRIP_COST,
-    SCORE,
     SELL_AFTER,
     TARGET,
-    quoted,
 )
 from tickspark.operators.asof import leg_prices, quote_to_usdt
 from tickspark.operators.impact import entry_regime, exit_regime, fit_for_events, impacted_price, vwap_impact_bps
