@@ -176,12 +176,13 @@ def _segments(docs: DataFrame, width: int, anchor: int) -> DataFrame:
     return docs.select("doc_id", "fp_a", "fp_b", "text").mapInArrow(cut, schema)
 
 
-def _words_at(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def _words_at(docs: DataFrame, wanted: DataFrame, width: int, few: bool = False) -> DataFrame:
     """The word hashes of the segments in ``wanted`` (doc, anchor, start, windows), from the documents' texts."""
     per_doc = wanted.groupBy("doc_id", "fp_a").agg(
         F.collect_list(F.struct("anchor", "start", "windows")).alias("cuts")  # bounded by one document
     )
-    cuts = per_doc
+    # passages of hot anchors are often in few documents, and then need no second shuffle of all texts
+    cuts = with_size_check(per_doc, "substring-cuts", 50_000) if few else per_doc
     same = docs["doc_id"].eqNullSafe(cuts["doc_id"]) & (docs["fp_a"] == cuts["fp_a"])
     joined = docs.join(cuts, same).select(docs["doc_id"], docs["fp_a"], "text", "cuts")
 
@@ -301,7 +302,7 @@ def _resolved(source: DataFrame, rows: DataFrame, width: int, anchor: int, max_s
     hot = wanted.where("hot")
     if hot.isEmpty():
         return found
-    finer = materialise(_cut_again(_words_at(source, hot, width), width, anchor, level), "substring-finer")
+    finer = materialise(_cut_again(_words_at(source, hot, width, few=True), width, anchor, level), "substring-finer")
     return found.unionByName(_resolved(source, finer, width, anchor, max_segments, level + 1))
 
 
