@@ -169,6 +169,17 @@ def test_leaks_of_the_tables(spark):
     assert {(r.doc_id, r.item_id) for r in queries.op3_decontamination(spark, sf).collect()} == want and want
 
 
+def test_short_items_at_every_position(spark, documents):
+    rng = random.Random(11)
+    items = [prose(rng, n) for n in (5, 7, 8, 9, 10, 11, 12, 13)]
+    near = [" ".join(["qq", *t.split()[1:]]) for t in items[5:]]  # one word changed at an end
+    near += [" ".join([*t.split()[:-1], "qq"]) for t in items[5:]]
+    of = [*range(8), 5, 6, 7, 5, 6, 7]
+    texts = [" ".join(["zz"] * lead + [t, "yy"]) for lead in range(9) for t in items + near]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(texts), benchmark(spark, items)).collect()}
+    assert got == {(d, of[d % len(of)]) for d in range(len(texts))}
+
+
 # --- Page extraction --------------------------------------------------------------------------------
 
 

@@ -1,15 +1,17 @@
 """Benchmark decontamination by template, in built-in functions only.
 
 Numbers, units and names become typed placeholders, and case and outer punctuation go, so a benchmark question
-with other numbers or names keeps its template. Windows of ``width`` template tokens are hashed: every window of each
-benchmark item, and every ``stride``-th of a document, which finds any shared run of ``width + stride - 1`` tokens.
-The hash join gives candidate pairs with the offset at which they line up. A pair is verified on all windows of both
-texts: the share of the item's windows that the document has must reach ``coverage``. Where the texts line up, each
-placeholder of the item must stand for one value of the document throughout: a consistent change of slots is a
-re-parameterised question, an inconsistent one a chance likeness.
+with other numbers or names keeps its template. Windows of ``width`` template tokens are hashed, every one of each
+benchmark item and of each document. The hash join gives the shared windows with the offsets at which they line up.
+
+A document can hold an item in several parts, as each inserted or deleted word shifts what follows: each offset is an
+alignment of its own. Slots are compared at the item positions that the alignment's windows cover. Each placeholder of
+the item must stand for one value of the document throughout: a consistent change of slots is a re-parameterised
+question, an inconsistent one a chance likeness. Alignments that agree count together, larger ones first, and the
+share of the item's windows that they hold must reach ``coverage``. Alignments without a changed slot always agree.
 
 Items of fewer than ``width`` tokens, but ``min_tokens`` or more, are windows of their own length, and documents are
-cut to those lengths too (with stride 1).
+cut to those lengths too.
 
 Edge cases: NULL and empty texts match nothing; items of fewer than ``min_tokens`` tokens are not searched for;
 rows that repeat an id and text, or an item, are one; texts that share an id are judged apart; empty input gives
@@ -49,87 +51,125 @@ def canonical(words: Column) -> Column:
     return F.lower(x)
 
 
-def _windows(tokens: Column, width: Column | int, stride: int = 1) -> Column:
-    """Hashes of the windows that start at every ``stride``-th token, in order."""
-    w = F.lit(width) if isinstance(width, int) else width
-    last = F.size(tokens) - w
-    hashes = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride)), lambda i: F.xxhash64(F.slice(tokens, i + 1, w)))
-    return F.when(last >= 0, hashes).otherwise(F.array().cast("array<bigint>"))
+def _windows(tokens: Column, width: int) -> Column:
+    """Hashes of the windows that start at each token, in order; windows of two widths never share a hash.
 
+    A window's hash is made of those of two shorter ones that cover it, so a token costs a few hashes of two numbers.
+    """
 
-def _placed(tokens: Column, width: int, stride: int) -> Column:
-    """Array of (width, hash, start) of those windows."""
-    return F.transform(
-        _windows(tokens, width, stride),
-        lambda h, i: F.struct(F.lit(width).alias("w"), h.alias("h"), (i * stride).alias("at")),
-    )
+    def joined(x: Column, shift: int, *mark: Column) -> Column:
+        n = F.greatest(F.size(x) - shift, F.lit(0))
+        return F.zip_with(F.slice(x, 1, n), F.slice(x, shift + 1, n), lambda a, b: F.xxhash64(a, b, *mark))
+
+    def with_(x: Column, shift: int, *mark: Column) -> Column:
+        # by way of an array of one, so that x is worked out once
+        return F.get(F.transform(F.array(x), lambda y: joined(y, shift, *mark)), F.lit(0))
+
+    hashes, span = F.transform(tokens, lambda t: F.xxhash64(t)), 1
+    while 2 * span < width:
+        hashes, span = with_(hashes, span), 2 * span
+    return with_(hashes, width - span, F.lit(width))
+
+
+def _windows_of(tokens: Column, width: Column, widths: range) -> Column:
+    """The windows where the width is a column."""
+    return F.coalesce(*(F.when(width == w, _windows(tokens, w)) for w in widths))
 
 
 def _split(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+def _agreeing(lines: Column, start: Column) -> Column:
+    """``start`` with the slots and windows of those lines that agree with it and with each other, in their order."""
+
+    def add(so_far: Column, line: Column) -> Column:
+        slots = F.array_distinct(F.concat(so_far["slots"], line["slots"]))
+        stands = F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s["was"])))
+        both = F.struct(slots.alias("slots"), F.array_union(so_far["windows"], line["windows"]).alias("windows"))
+        return F.when(F.size(slots) == F.size(stands), both).otherwise(so_far)
+
+    return F.aggregate(lines, start, add)
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", width: int = 8, stride: int = 4, coverage: int = 50, min_tokens: int = 5,
+    item_text: str = "text", width: int = 8, coverage: int = 50, min_tokens: int = 5,
 ) -> DataFrame:
     """One row per document and item found in it: doc_id, fp_a, fp_b, item_id, n_windows, n_found, coverage,
     n_slots, reparameterised."""
     items = keyed(benchmark, item_text, item_id=item_id).where("text is not null").distinct()
     items = items.select("item_id", F.xxhash64("text").alias("item"), spaced(F.col("text")).alias("words"))
     items = items.select("item_id", "item", _split(F.col("words")).alias("i_words"), _split(canonical(F.col("words"))).alias("i_tokens"))
-    items = items.where(F.size("i_tokens") >= min_tokens)
+    items = items.where(F.size("i_tokens") >= max(1, min_tokens))
     items = items.withColumn("w", F.least(F.size("i_tokens"), F.lit(width)))
-    items = materialise(items.withColumn("i_windows", _windows(F.col("i_tokens"), F.col("w"))), "leak-items")
+    every = range(min(max(1, min_tokens), width), width + 1)
+    items = materialise(items.withColumn("i_windows", _windows_of(F.col("i_tokens"), F.col("w"), every)), "leak-items")
     widths = [r["w"] for r in items.select("w").distinct().orderBy("w").collect()]  # at most `width` numbers
 
     source = keyed(docs, text, doc_id=doc_id).where("text is not null")
     source = source.select(F.col("doc_id").cast("long").alias("doc_id"), *fingerprint(F.col("text")), "text")
     tokens = source.select("doc_id", "fp_a", "fp_b", _split(canonical(spaced(F.col("text")))).alias("tokens"))
-    cut = [_placed(F.col("tokens"), w, stride if w == width else 1) for w in widths]
-    cut = cut or [F.array().cast("array<struct<w:int,h:bigint,at:int>>")]
-    seen = tokens.select("doc_id", "fp_a", "fp_b", F.explode(F.concat(*cut)).alias("x")).select("doc_id", "fp_a", "fp_b", "x.*")
-    index = items.select("item_id", "item", "w", F.posexplode("i_windows").alias("i_at", "h"))
+    cut = [_windows(F.col("tokens"), w) for w in widths] or [F.array().cast("array<bigint>")]
+    seen = tokens.select("doc_id", "fp_a", "fp_b", F.explode(F.array(*cut)).alias("hashes"))
+    seen = seen.select("doc_id", "fp_a", "fp_b", F.posexplode("hashes").alias("at", "h"))
+    total = F.size(F.array_distinct("i_windows"))
+    index = items.select("item_id", "item", total.alias("n_windows"), F.posexplode("i_windows").alias("i_at", "h"))
     index = with_size_check(index, "leak-index", 500_000)
-    hits = seen.join(index, ["w", "h"]).groupBy("doc_id", "fp_a", "fp_b", "item_id", "item", (F.col("at") - F.col("i_at")).alias("offset"))
     pair = ["doc_id", "fp_a", "fp_b", "item_id", "item"]
-    lined = hits.agg(F.count(F.lit(1)).alias("n")).groupBy(*pair).agg(F.max(F.struct("n", "offset")).alias("best"))
-    pairs = materialise(lined.select(*pair, F.col("best.offset").alias("offset")), "leak-pairs")
+    hits = seen.join(index, "h").groupBy(*pair, "n_windows", (F.col("at") - F.col("i_at")).alias("offset"))
+    lines = hits.agg(F.collect_set(F.struct("i_at", "h")).alias("shared"))  # bounded by one item
+    lines = lines.groupBy(*pair, "n_windows").agg(F.collect_list(F.struct("offset", "shared")).alias("lines"))
+    most = F.size(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["shared"]["h"]))))
+    pairs = materialise(lines.where(100 * most >= coverage * F.col("n_windows")), "leak-pairs")
 
     # the texts of candidates only
-    wanted = with_size_check(pairs.select(*(F.col(c).alias(f"{c}_") for c in pair), "offset"), "leak-wanted", 300_000)
+    wanted = pairs.select(*(F.col(c).alias(f"{c}_") for c in pair[:3])).distinct()
+    wanted = with_size_check(wanted, "leak-wanted", 300_000)
     same = (
         F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("fp_a") == F.col("fp_a_")) & (F.col("fp_b") == F.col("fp_b_"))
     )
-    both = source.join(wanted, same).join(
-        items.select(F.col("item_id").alias("id_"), F.col("item").alias("of_"), "i_words", "i_tokens", "i_windows", "w"),
-        F.col("item_id_").eqNullSafe(F.col("id_")) & (F.col("item_") == F.col("of_")),
+    texts = source.join(wanted, same).select("doc_id_", "fp_a_", "fp_b_", _split(spaced(F.col("text"))).alias("d_words")).distinct()
+    both = pairs.join(texts, same).join(
+        items.select(F.col("item_id").alias("id_"), F.col("item").alias("of_"), "i_words", "i_tokens", "w"),
+        F.col("item_id").eqNullSafe(F.col("id_")) & (F.col("item") == F.col("of_")),
     )
-    words = spaced(F.col("text"))
     # written, because expressions over these arrays would work them out again for every element
-    both = materialise(both.withColumns({"d_words": _split(words), "d_tokens": _split(canonical(words))}).drop("text"), "leak-both")
-    shared = F.size(F.array_intersect("i_windows", _windows(F.col("d_tokens"), F.col("w"))))
-    total = F.size(F.array_distinct("i_windows"))
-    judged = both.withColumns({"n_windows": total, "n_found": shared}).where(100 * F.col("n_found") >= coverage * F.col("n_windows"))
+    both = materialise(both.select(*pair, "n_windows", "lines", "d_words", "i_words", "i_tokens", "w"), "leak-both")
     at = lambda c, i: F.get(F.col(c), i)
     value = lambda c, i: F.lower(F.regexp_replace(at(c, i), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$", ""))
-    slots = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.size("i_tokens") - 1),
-            lambda j: F.struct(
-                at("i_tokens", j).alias("kind"), at("d_tokens", j + F.col("offset")).alias("d_kind"),
-                value("i_words", j).alias("was"), value("d_words", j + F.col("offset")).alias("is"),
-            ),
-        ),
-        lambda s: s["kind"].isin(NUMBER, UNIT, NAME) & (s["kind"] == s["d_kind"]),
-    )
-    judged = judged.withColumn("slots", F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s["was"], s["is"]))))
-    stands = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["was"]))))
-    changed = F.exists("slots", lambda s: s["was"] != s["is"])
-    return judged.where(F.size("slots") == stands).select(
-        "doc_id", "fp_a", "fp_b", F.col("item_id_").alias("item_id"), F.col("n_windows").cast("long").alias("n_windows"),
-        F.col("n_found").cast("long").alias("n_found"), (F.col("n_found") / F.col("n_windows")).alias("coverage"),
-        F.size("slots").cast("long").alias("n_slots"), changed.alias("reparameterised"),
+
+    def slots(line: Column) -> Column:
+        """Placeholders of the item where the line's windows are, with the values there."""
+        covered = F.array_distinct(F.flatten(F.transform(line["shared"]["i_at"], lambda i: F.sequence(i, i + F.col("w") - 1))))
+        holders = F.filter(covered, lambda j: at("i_tokens", j).isin(NUMBER, UNIT, NAME))
+        found = lambda j: F.struct(
+            at("i_tokens", j).alias("kind"), value("i_words", j).alias("was"), value("d_words", j + line["offset"]).alias("is")
+        )
+        return F.array_sort(F.array_distinct(F.transform(holders, found)))
+
+    changed = lambda s: F.exists(s, lambda x: x["was"] != x["is"])
+    found = F.transform("lines", lambda x: F.struct(F.array_sort(x["shared"]["h"]).alias("windows"), slots(x).alias("slots")))
+    judged = materialise(both.select(*pair, "n_windows", F.array_distinct(found).alias("lines")), "leak-lines")
+    # larger alignments first, among equals those without a change
+    ranked = F.transform("lines", lambda x: F.struct((-F.size(x["windows"])).alias("n"), changed(x["slots"]).alias("changed"), x["windows"], x["slots"]))
+    ranked = F.transform(F.array_sort(ranked), lambda x: F.struct(x["slots"].alias("slots"), x["windows"].alias("windows"), x["changed"].alias("changed")))
+    judged = judged.select(*pair, "n_windows", ranked.alias("lines"))
+    lines = F.col("lines")
+    verbatim = F.filter(lines, lambda x: ~x["changed"])
+    none = F.struct(F.slice(lines[0]["slots"], 1, 0).alias("slots"), F.slice(lines[0]["windows"], 1, 0).alias("windows"))
+    # what the largest hold, what the unchanged hold, and what each alignment holds with those that agree with it
+    first = F.array(_agreeing(lines, none), _agreeing(F.concat(verbatim, lines), none))
+    each = F.transform(lines, lambda x: _agreeing(F.concat(F.array(x), lines), none))
+    judged = materialise(judged.select(*pair, "n_windows", "lines", first.alias("held")), "leak-first")
+    enough = lambda x: 100 * F.size(x["windows"]) >= coverage * F.col("n_windows")
+    held = F.when(F.exists("held", enough), F.col("held")).otherwise(each)
+    sized = F.transform(held, lambda x: F.struct(F.size(x["windows"]).alias("n"), (~changed(x["slots"])).alias("same"), x["slots"].alias("slots")))
+    judged = judged.select(*pair, "n_windows", F.array_max(sized).alias("best"))
+    return judged.where(100 * F.col("best.n") >= coverage * F.col("n_windows")).select(
+        "doc_id", "fp_a", "fp_b", "item_id", F.col("n_windows").cast("long").alias("n_windows"),
+        F.col("best.n").cast("long").alias("n_found"), (F.col("best.n") / F.col("n_windows")).alias("coverage"),
+        F.size("best.slots").cast("long").alias("n_slots"), (~F.col("best.same")).alias("reparameterised"),
     ).distinct()
 
 
