@@ -180,6 +180,22 @@ def test_short_items_at_every_position(spark, documents):
     assert got == {(d, of[d % len(of)]) for d in range(len(texts))}
 
 
+def test_leaks_of_edited_copies(spark, documents):
+    rng = random.Random(12)
+    part = lambda n: prose(rng, n)
+    item = f"{part(12)} Anna Bell {part(12)} 12 {part(10)} Anna Bell {part(10)} 12 {part(8)}"
+    w = item.split()
+    inserted, deleted = " ".join(w[:25] + ["extra"] + w[25:]), " ".join(w[:20] + w[21:])
+    other = lambda t: t.replace("Anna", "Carla").replace("Bell", "Stone").replace("12", "45")
+    broken = " ".join(w[:29] + ["extra"] + w[29:]).replace("12", "45", 1)  # 12 stands for two values
+    third = " ".join(w[:24]) + " zz " + other(" ".join(w[24:]))
+    texts = [inserted, deleted, other(inserted), other(deleted), f"{item} {part(20)} {other(item)}", broken, third]
+    got = {r.doc_id: r for r in decontaminate.leaks(documents(texts), benchmark(spark, [item])).collect()}
+    assert set(got) >= {0, 1, 2, 3, 4} and [got[i].reparameterised for i in range(5)] == [False, False, True, True, False]
+    assert got[0].n_found == got[2].n_found == len(w) - 7 - 7 and got[4].n_found == len(w) - 7
+    assert all(got[i].n_found < len(w) - 7 - 7 for i in (5, 6) if i in got), "parts that disagree do not count together"
+
+
 # --- Page extraction --------------------------------------------------------------------------------
 
 
