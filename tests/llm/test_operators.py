@@ -104,6 +104,17 @@ def test_line_dedup_on_the_corpus(spark):
     assert got == brute_line_dedup(rows)
 
 
+def test_lines_count_documents_once(spark, documents):
+    rng = random.Random(13)
+    steps = lambda a, b: "\n".join(f"Step {k} of the plan" for k in range(a, b))
+    two = [f"{prose(rng, 20)}\n{steps(0, 9)}", f"{prose(rng, 20)}\n{steps(9, 10)}"]
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(documents(two)).collect()}
+    assert got == dict(enumerate(two))
+    ten = [f"{prose(rng, 20)}\n{steps(k, k + 2)}" for k in range(10)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(documents(ten)).collect()}
+    assert got[0] == ten[0] and not any("Step" in got[i] for i in range(1, 10))
+
+
 # --- Language identification ------------------------------------------------------------------------
 
 

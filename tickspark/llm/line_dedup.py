@@ -8,7 +8,7 @@ documents or more is recurring. Its lines are dropped, except in the document th
 that document's exact copies.
 
 Documents count by text: exact copies are one document, so a copied text keeps its lines and only what different
-texts share is dropped.
+texts share is dropped. A document counts once for a leaf, token or template, however many of its lines have it.
 
 Lines move as hashes. Each pass over the texts cuts the lines anew instead of moving them: one counts leaves, one
 reads the tokens of one copy of every line in a leaf that recurs, the last rebuilds the texts.
@@ -55,13 +55,14 @@ def recurring_lines(
     narrow = materialise(
         _lines(source, depth, min_tokens).select("doc_id", "fp_a", "fp_b", "at", "line_hash", "leaf"), "lines"
     )
-    carriers = narrow.groupBy("leaf", "line_hash", "fp_a", "fp_b").agg(F.min("doc_id").alias("doc_id"))
-    place = F.struct("doc_id", "fp_a", "fp_b")
-    distinct = carriers.groupBy("leaf", "line_hash").agg(F.count(F.lit(1)).alias("n_docs"), F.min(place).alias("first"))
-    distinct = materialise(distinct, "line-distinct")
-    leaves = distinct.groupBy("leaf").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    texts = narrow.select("leaf", "fp_a", "fp_b").distinct()
+    leaves = texts.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     leaves = with_size_check(leaves, "line-leaves")
-    known = materialise(distinct.join(leaves, "leaf"), "line-known")
+    carriers = narrow.join(leaves, "leaf").groupBy("leaf", "line_hash", "fp_a", "fp_b").agg(F.min("doc_id").alias("doc_id"))
+    carriers = materialise(carriers, "line-carriers")
+    place = F.struct("doc_id", "fp_a", "fp_b")
+    known = carriers.groupBy("leaf", "line_hash").agg(F.count(F.lit(1)).alias("n_docs"), F.min(place).alias("first"))
+    known = materialise(known, "line-known")
 
     # the tokens of every line there, read from the first document that has it
     pick = with_size_check(known.select(F.col("leaf").alias("leaf_"), F.col("line_hash").alias("hash_"), "first"), "line-pick")
@@ -76,18 +77,26 @@ def recurring_lines(
     read = materialise(read.dropDuplicates(["leaf", "line_hash"]), "line-tokens")
 
     weighed = read.join(known.select("leaf", "line_hash", "n_docs"), ["leaf", "line_hash"])
-    support = weighed.select("leaf", "n_docs", F.explode("codes").alias("code")).groupBy("leaf", "code")
+    support = weighed.select("leaf", "n_docs", F.explode("codes").alias("code"))
+    # a document with several lines of a leaf counts once a code: what it has beyond is taken off
+    several = carriers.groupBy("leaf", "fp_a", "fp_b").agg(F.collect_list("line_hash").alias("of"))  # bounded by one document
+    several = several.where(F.size("of") > 1).select("leaf", "fp_a", "fp_b", F.explode("of").alias("line_hash"))
+    tokens = with_size_check(read, "line-codes", 200_000)
+    again = several.join(tokens, ["leaf", "line_hash"]).select("leaf", "fp_a", "fp_b", F.explode("codes").alias("code"))
+    again = again.groupBy("leaf", "fp_a", "fp_b", "code").agg((1 - F.count(F.lit(1))).alias("n_docs")).where("n_docs < 0")
+    support = support.unionByName(again.select("leaf", "n_docs", "code")).groupBy("leaf", "code")
     constant = support.agg(F.sum("n_docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "code")
     # at most one code per min_docs of the leaf's documents and position
     fixed = constant.groupBy("leaf").agg(F.collect_list("code").alias("fixed"))
     shaped = read.join(fixed, "leaf").withColumn("constants", F.array_intersect("codes", "fixed"))
     shaped = shaped.where(100 * F.size("constants") >= min_constant * F.size("codes"))
     shaped = shaped.select("leaf", "line_hash", F.xxhash64("constants").alias("template"))
+    shaped = with_size_check(shaped, "line-shaped")
     # documents of a template: those of its lines, each once
-    members = materialise(shaped.join(known, ["leaf", "line_hash"]), "line-templates")
-    total = members.groupBy("leaf", "template").agg(F.sum("n_docs").alias("n_template"), F.min("first").alias("owner"))
+    of = carriers.join(shaped, ["leaf", "line_hash"]).groupBy("leaf", "template", "fp_a", "fp_b").agg(F.min("doc_id").alias("doc_id"))
+    total = of.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n_template"), F.min(place).alias("owner"))
     total = total.where(F.col("n_template") >= min_docs)
-    found = members.join(total, ["leaf", "template"]).select("leaf", "line_hash", "template", "n_template", "owner")
+    found = shaped.join(total, ["leaf", "template"]).select("leaf", "line_hash", "template", "n_template", "owner")
     return narrow, found
 
 
