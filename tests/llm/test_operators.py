@@ -115,6 +115,14 @@ def test_lines_count_documents_once(spark, documents):
     assert got[0] == ten[0] and not any("Step" in got[i] for i in range(1, 10))
 
 
+def test_rows_of_numbers_stay(spark, documents):
+    rng = random.Random(14)
+    row = lambda: " ".join(f"{rng.randrange(999)}.{rng.randrange(9)}" for _ in range(3))
+    texts = [f"{prose(rng, 20)}\n{row()}\n{row()}" for _ in range(15)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(documents(texts)).collect()}
+    assert got == dict(enumerate(texts))
+
+
 # --- Language identification ------------------------------------------------------------------------
 
 

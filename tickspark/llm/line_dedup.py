@@ -3,7 +3,8 @@
 Tokens with a digit are variable. The tree has a fixed depth: a line goes to the leaf of its token count and its
 first ``depth`` tokens. In a leaf that ``min_docs`` documents reach, a token is constant at its position if
 lines of ``min_docs`` documents have it there, and a variable field otherwise; a line's template is its
-constant tokens. A template with at least ``min_constant`` constant tokens out of 100 that occurs in ``min_docs``
+constant tokens and the places of its variable ones. A template with at least ``min_constant`` constant tokens out of
+100, which tokens with a digit never are, that occurs in ``min_docs``
 documents or more is recurring. Its lines are dropped, except in the document that has it first (smallest id) and
 that document's exact copies.
 
@@ -89,7 +90,9 @@ def recurring_lines(
     # at most one code per min_docs of the leaf's documents and position
     fixed = constant.groupBy("leaf").agg(F.collect_list("code").alias("fixed"))
     shaped = read.join(fixed, "leaf").withColumn("constants", F.array_intersect("codes", "fixed"))
-    shaped = shaped.where(100 * F.size("constants") >= min_constant * F.size("codes"))
+    # masked tokens mark a field of the template and are no constants
+    masked = F.transform(F.sequence(F.lit(0), F.size("codes") - 1), lambda i: F.xxhash64(i, F.lit(VARIABLE)))
+    shaped = shaped.where(100 * F.size(F.array_except("constants", masked)) >= min_constant * F.size("codes"))
     shaped = shaped.select("leaf", "line_hash", F.xxhash64("constants").alias("template"))
     shaped = with_size_check(shaped, "line-shaped")
     # documents of a template: those of its lines, each once
