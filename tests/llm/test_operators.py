@@ -225,6 +225,12 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in dom.blocks("<a href='x>y'>z</a")] == ["z", "</a"] or dom.blocks("<a href='x>y'>z</a")
 
 
+def test_text_behind_skipped_elements():
+    for tag in ('<svg class="i"/>', "<svg-icon></svg-icon>", "<title-bar>", "<template-x></template-x>", "<iframe src=x>", "<svg><title>t</title></svg>"):
+        assert [b.text for b in dom.blocks(f"<p>a {tag}b</p><p>c</p>")] == ["a b", "c"], tag
+    assert [b.text for b in dom.blocks("<p>a</p><script>b<p>c")] == ["a"]
+
+
 def test_held_out_pages():
     model = html_extract.default_model()
     right = total = 0

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|([^<]+|<)",
     re.S | re.I,
 )
+#: Elements without text of the page, up to their end tag. Where it is missing, the tag is one like any other.
+SKIPPED = re.compile(r"<(noscript|template|svg|iframe|object|select)(?=[\s/>])([^>]*)>", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|type)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
@@ -62,6 +65,25 @@ def _cues(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _tokens(page: str) -> Iterator[re.Match[str]]:
+    """Matches of TOKEN outside of skipped elements."""
+    at, unclosed = 0, set()
+    while at < len(page):
+        if m := SKIPPED.match(page, at):
+            tag = m[1].lower()
+            if tag == "svg" and m[2].endswith("/"):
+                at = m.end()
+                continue
+            end = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, m.end())
+            if end:
+                at = end.end()
+                continue
+            unclosed.add(tag)  # no end tag from here on
+        m = TOKEN.match(page, at)
+        at = m.end()
+        yield m
+
+
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks in order, each with its features. Script, style and the head have no text."""
     out: list[Block] = []
@@ -84,7 +106,7 @@ def blocks(page: str | None) -> list[Block]:
             links -= tag == "a"
         del stack[index:]
 
-    for m in TOKEN.finditer(page or ""):
+    for m in _tokens(page or ""):
         text = m[5]
         if text is not None:
             parts.append(text)
