@@ -147,6 +147,20 @@ def test_language_edges(spark, documents):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_language_with_little_text(spark, documents):
+    rng = random.Random(15)
+    vocabulary = {k: [f"{c}{word(rng.randrange(26, 5000))}" for _ in range(300)] for k, c in (("en", "q"), ("xx", "z"))}
+    some = lambda k: " ".join(rng.choice(vocabulary[k]) for _ in range(40))
+    many = {k: [some(k) for _ in range(60)] for k in vocabulary}
+    rare = documents(["wenige worte einer seltenen sprache hier"], lang="yy")
+    train = documents(many["en"]).union(documents(many["xx"] + many["xx"][:1] * 2000, lang="xx")).union(rare)
+    model = langid.fit(train, sample_docs=20, dict_bytes=3000)
+    assert model.languages == ("en", "xx", "yy") and {len(d) for d in model.dictionaries} == {3000}
+    assert len(set(model.dictionaries[1].split())) > 100, "copies don't thin the draw"
+    texts = [some("en"), some("xx"), "seltenen sprache hier wenige worte"]
+    assert [r.lang_pred for r in langid.predict(documents(texts), model).orderBy("doc_id").collect()] == ["en", "xx", "yy"]
+
+
 # --- Decontamination --------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ dictionary makes it smallest wins. The score is the share by which the runner-up
 
 Fitting reads labelled rows only, and a bounded number of them: about ``sample_docs`` texts a language, chosen by a
 hash of the text, each to at most ``sample_chars`` characters, into dictionaries of at most ``dict_bytes`` bytes.
+A language with less text has it repeated up to the size of the largest dictionary, so it doesn't shrink the others.
 Prediction reads whole texts, in pieces of ``piece_chars`` so that a text of any length needs bounded memory.
 
 Edge cases: a NULL text, or one without a letter, is ``und`` with score 0; equal sizes go to the first language in
@@ -51,7 +52,9 @@ def fit(
 ) -> LanguageModel:
     """Dictionaries from rows whose ``lang`` is not NULL."""
     rows = keyed(labelled, text, lang=lang).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # copies of a text are drawn together, so they count as one
+    counts = rows.groupBy("lang").agg(F.countDistinct(F.xxhash64("text")).alias("n"))
+    counts = {r["lang"]: r["n"] for r in counts.collect()}
     if not counts:
         return LanguageModel((), ())
     # a hash threshold a language keeps about sample_docs of its rows, whatever their number
@@ -62,12 +65,11 @@ def fit(
     for r in sorted(sample, key=lambda r: (r["lang"], r["text"])):
         parts[r["lang"]].append(normalise(r["text"]))
     parts = {k: v for k, v in parts.items() if any(v)}
-    share = min(min(sum(len(t.encode()) + 1 for t in v) for v in parts.values()), dict_bytes) if parts else 0
     langs = sorted(parts)
-    # equal sizes, so that no language gains by having more text to copy from
-    return LanguageModel(
-        tuple(langs), tuple(" ".join(parts[k]).encode()[:share] for k in langs), level, min_margin
-    )
+    texts = [" ".join(parts[k]).encode()[:dict_bytes] for k in langs]
+    # equal sizes, so that no language gains by having more bytes to copy from
+    size = max(map(len, texts), default=0)
+    return LanguageModel(tuple(langs), tuple(((t + b" ") * (size // (len(t) + 1) + 1))[:size] for t in texts), level, min_margin)
 
 
 def classifier(model: LanguageModel):
