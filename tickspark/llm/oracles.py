@@ -119,10 +119,54 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(c
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+OP12 = r"""
+WITH RECURSIVE turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+                      {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t FROM conversations WHERE conv_id IS NOT NULL),
+whole AS (SELECT conv_id, list(t ORDER BY pos) AS l FROM turns GROUP BY conv_id),
+bits AS (SELECT range::UBIGINT AS i, range::UBIGINT AS c, 0 AS k FROM range(256)
+         UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT conv_id, conv_id::VARCHAR AS s, 4294967295::UBIGINT AS c, 0 AS k FROM whole
+        UNION ALL SELECT conv_id, s, xor(crc.c >> 8, b.c), crc.k + 1 FROM crc
+        JOIN bits b ON b.k = 8 AND b.i = xor(crc.c & 255, ascii(s[crc.k + 1])::UBIGINT) WHERE crc.k < length(s)),
+heads AS (SELECT conv_id, (xor(c, 4294967295) % 9)::BIGINT AS h FROM crc WHERE k = length(s)),
+built AS (SELECT w.conv_id, list_concat(coalesce(f.l[1:h], []), w.l[h + 1:]) AS l
+          FROM whole w JOIN heads USING (conv_id) LEFT JOIN whole f ON f.conv_id = w.conv_id - w.conv_id % 5),
+steps AS (SELECT conv_id, d, l[1:d] AS p, len(l) = d AS ends FROM (SELECT *, unnest(range(len(l) + 1)) AS d FROM built)),
+nodes AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends) AS ended FROM steps GROUP BY p, d),
+parts AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+costed AS (SELECT n.*, coalesce(c.n, 0) AS n_children,
+                  CASE WHEN d > 0 THEN (n_convs - 1) * strlen(n.p[d].text) ELSE 0 END AS cost
+           FROM nodes n LEFT JOIN parts c ON n.p = c.p),
+sums AS (SELECT p[1:k] AS p, sum(cost)::BIGINT AS saved, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+         FROM (SELECT *, unnest(range(d + 1)) AS k FROM costed) GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved AS saved_tokens,
+       sha256(coalesce(n.ended, '')) AS ends_sha256
+FROM costed n JOIN sums s ON n.p = s.p LEFT JOIN nodes u ON n.d > 0 AND u.p = n.p[1:n.d - 1]
+"""
+
+OP13 = r"""
+WITH terms AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+docs AS (SELECT doc_id, t, len(t) AS n FROM terms WHERE len(t) > 0),
+total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM docs) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w
+            FROM tf, total GROUP BY term),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+           FROM asked JOIN tf USING (term) JOIN weights USING (term), total GROUP BY item_id, doc_id HAVING score > 0),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1,
     "op4_secret_scan": _secrets(),
     "op5_near_duplicates": OP5,
     "op7_quality_rules": OP7,
     "op8_substring_dedup": OP8,
+    "op12_prefix_trie": OP12,
+    "op13_lexical_search": OP13,
 }

@@ -11,11 +11,14 @@ from tickspark.llm import (
     decontaminate,
     html_extract,
     langid,
+    lexical,
     line_dedup,
     near_dup,
     packing,
+    prefix_trie,
     quality,
     secrets,
+    simhash,
     substring,
     token_output,
 )
@@ -88,10 +91,24 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.packed_sequences(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id", "kept")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.branched(table(spark, sf_dir, "conversations")))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_language_id, op3_decontamination, op4_secret_scan, op5_near_duplicates,
         op6_best_fit_packing, op7_quality_rules, op8_substring_dedup, op9_html_extraction, op10_token_output,
+        op11_simhash, op12_prefix_trie, op13_lexical_search,
     )
 }

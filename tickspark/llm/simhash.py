@@ -23,6 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: st
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pa.compute.fill_null(pa.compute.utf8_length(batch["text"]), 0).to_pylist()
+            sizes = pc.fill_null(pc.utf8_length(batch["text"]), 0).to_pylist()
             for part in groups(sizes):
                 texts = batch["text"].slice(part.start, part.stop - part.start)
                 prints = np.array([fingerprint(t.as_py(), shingle) for t in texts], U).view(np.int64)
@@ -135,7 +136,7 @@ def links(fps: DataFrame, radius: int = 2, group_variants: int = 1 << 20, max_va
         total = loads.where(F.col("load") <= max_variants).agg(F.sum("load")).first()[0] or 0
         group = F.pmod(F.xxhash64("key"), F.lit(total // group_variants + 1)).alias("group")
         here = calm.select(group, "key", "fp", "used").groupBy("group")
-        met = here.applyInArrow(lambda t, f=_met(level, radius): f(t), "a long, b long")
+        met = here.applyInArrow(_met(level, radius), "a long, b long")
         found = met if found is None else found.union(met)
         if not any_crowded:
             return found
