@@ -7,17 +7,18 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|([^<]+|<)",
-    re.S | re.I,
+#: Comments, declarations and raw text with its element.
+UNREAD = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I
 )
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+BETWEEN = re.compile(r"[\s/]*")
+NAME = re.compile(r"=?[^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+BARE = re.compile(r"[^\s>]*")
+READ = frozenset("class id role aria-label type".split())
 #: Elements without text of the page, up to their end tag. Where it is missing, the tag is one like any other.
 SKIPPED = re.compile(r"<(noscript|template|svg|iframe|object|select)(?=[\s/>])([^>]*)>", re.I)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|type)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th "
@@ -52,23 +53,59 @@ class Block:
     features: list[str] = field(default_factory=list)
 
 
-def _cues(attributes: str) -> tuple[str, ...]:
-    if "=" not in attributes:
-        return ()
+def _cues(attributes: dict[str, str]) -> tuple[str, ...]:
     found: dict[str, None] = {}
-    for m in ATTRIBUTE.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        for word in NOT_WORD.split(value):
+    for name, value in attributes.items():
+        if name not in READ:
+            continue
+        for word in NOT_WORD.split(value.lower()):
             cue = CUE_OF.get(word) or CUE_OF.get(word.rstrip("s"))
             if cue:
                 found[cue] = None
     return tuple(found)
 
 
-def _tokens(page: str) -> Iterator[re.Match[str]]:
-    """Matches of TOKEN outside of skipped elements."""
-    at, unclosed = 0, set()
+def _attributes(page: str, at: int, last: dict[str, int]) -> tuple[int, dict[str, str]]:
+    """Where the tag ends whose attributes start at ``at`` (-1: nowhere), and its attributes, the first of each name.
+
+    A quote opens a value only right behind the equals sign; elsewhere it is a character of a name or a bare value.
+    A value whose quote is not closed on the page (``last`` has the last place of either quote) is a bare value.
+    """
+    found: dict[str, str] = {}
+    while True:
+        at = BETWEEN.match(page, at).end()
+        if at >= len(page):
+            return -1, found
+        if page[at] == ">":
+            return at + 1, found
+        name = NAME.match(page, at)
+        at, value = name.end(), ""
+        if equals := EQUALS.match(page, at):
+            at = equals.end()
+            quote = page[at : at + 1]
+            if at < last.get(quote, -1):
+                end = page.find(quote, at + 1)
+                value, at = page[at + 1 : end], end + 1
+            else:
+                bare = BARE.match(page, at)
+                value, at = bare[0].lstrip("\"'"), bare.end()
+        found.setdefault(name[0].lower(), entities.unescape(value))
+
+
+def _tokens(page: str) -> Iterator[tuple[str | None, bool, str, dict[str, str]]]:
+    """(text, closing, tag, attributes): texts, with no tag, and tags, with no text. One pass over the page."""
+    at, unclosed, last_end = 0, set(), page.rfind(">")
+    last = {quote: page.rfind(quote) for quote in "\"'"}
     while at < len(page):
+        start = page.find("<", at)
+        if start != at:
+            start = len(page) if start < 0 else start
+            yield page[at:start], False, "", {}
+            at = start
+            continue
+        if at > last_end:  # no tag can end from here on
+            yield page[at:], False, "", {}
+            return
         if m := SKIPPED.match(page, at):
             tag = m[1].lower()
             if tag == "svg" and m[2].endswith("/"):
@@ -79,9 +116,16 @@ def _tokens(page: str) -> Iterator[re.Match[str]]:
                 at = end.end()
                 continue
             unclosed.add(tag)  # no end tag from here on
-        m = TOKEN.match(page, at)
-        at = m.end()
-        yield m
+        if m := UNREAD.match(page, at):
+            at = m.end()
+        elif m := TAG.match(page, at):
+            at, attributes = _attributes(page, m.end(), last)
+            if at < 0:
+                return
+            yield None, bool(m[1]), m[2].lower(), attributes
+        else:
+            yield "<", False, "", {}
+            at += 1
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -106,21 +150,16 @@ def blocks(page: str | None) -> list[Block]:
             links -= tag == "a"
         del stack[index:]
 
-    for m in _tokens(page or ""):
-        text = m[5]
+    for text, closing, tag, attributes in _tokens(page or ""):
         if text is not None:
             parts.append(text)
             if links:
                 linked += len(text)
             continue
-        tag = m[3]
-        if tag is None:
-            continue
-        tag = tag.lower()
         block = tag in BLOCKS
         if block:
             flush()
-        if m[2]:
+        if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     pop_to(i)
@@ -130,7 +169,8 @@ def blocks(page: str | None) -> list[Block]:
                 parts.append(" ")
         else:
             ended = ENDS.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
+            # an inline tag ends nothing, however deep it stands
+            for i in range(len(stack) - 1, -1, -1) if ended or tag in NOT_IN_P else ():
                 name = stack[i][0]
                 if name in ended or (name == "p" and tag in NOT_IN_P):
                     pop_to(i)
@@ -138,7 +178,7 @@ def blocks(page: str | None) -> list[Block]:
                 if name in BLOCKS:
                     break
             links += tag == "a"
-            stack.append((tag, _cues(m[4])))
+            stack.append((tag, _cues(attributes)))
     flush()
     for i, b in enumerate(out):
         if i == 0:
