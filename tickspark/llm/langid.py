@@ -60,13 +60,17 @@ def fit(
     # a hash threshold a language keeps about sample_docs of its rows, whatever their number
     rate = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, sample_docs / n))), F.col("lang"))
     drawn = F.pmod(F.xxhash64(F.col("text"), F.lit("sample")), F.lit(1_000_000)) < rate * 1_000_000
-    sample = rows.where(drawn).select("lang", F.substring("text", 1, sample_chars).alias("text")).distinct().collect()
+    # a slice of each text at a place that its hash chooses, so that heads of texts don't stand for all of them
+    free = F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1
+    part = F.substring(F.col("text"), (1 + F.pmod(F.xxhash64("text", F.lit("place")), free)).cast("int"), F.lit(sample_chars))
+    order = F.xxhash64("text", F.lit("order")).alias("order")
+    sample = rows.where(drawn).select("lang", part.alias("text"), order).distinct().collect()
     parts: dict[str, list[str]] = {k: [] for k in counts}
-    for r in sorted(sample, key=lambda r: (r["lang"], r["text"])):
+    for r in sorted(sample, key=lambda r: (r["lang"], r["order"], r["text"])):
         parts[r["lang"]].append(normalise(r["text"]))
     parts = {k: v for k, v in parts.items() if any(v)}
     langs = sorted(parts)
-    texts = [" ".join(parts[k]).encode()[:dict_bytes] for k in langs]
+    texts = [" ".join(parts[k]).encode()[:dict_bytes].decode(errors="ignore").encode() for k in langs]
     # equal sizes, so that no language gains by having more bytes to copy from
     size = max(map(len, texts), default=0)
     return LanguageModel(tuple(langs), tuple(((t + b" ") * (size // (len(t) + 1) + 1))[:size] for t in texts), level, min_margin)
@@ -102,7 +106,7 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
     def classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = classifier(shared.value)
         for b in batches:
-            cols = list(zip(*map(of, b["text"].to_pylist()), strict=True)) or [(), (), ()]
+            cols = list(zip(*(of(t.as_py()) for t in b["text"]), strict=True)) or [(), (), ()]
             made = [pa.array(c, type=k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *made], names=["doc_id", "lang_pred", "score", "accepted"])
 
