@@ -19,16 +19,16 @@ tok AS (SELECT doc_id, text, line, nth,
                [CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END
                 FOR t IN regexp_extract_all(line, '[^\x20\x09-\x0D]+')] AS w FROM cut),
 lines AS (SELECT *, (len(w)::VARCHAR || ' ' || array_to_string(w[1:3], ' ')) AS leaf FROM tok WHERE len(w) >= 3),
-distinct_lines AS (SELECT leaf, line, any_value(w) AS w, count(DISTINCT text) AS n_docs,
-                          min(doc_id) AS first_doc, arg_min(text, doc_id) AS first_text FROM lines GROUP BY ALL),
-leaves AS (SELECT leaf FROM distinct_lines GROUP BY leaf HAVING sum(n_docs) >= 10),
-known AS (SELECT d.* FROM distinct_lines d JOIN leaves USING (leaf)),
-codes AS (SELECT leaf, line, w, n_docs, first_doc, first_text, unnest(range(len(w))) AS pos, unnest(w) AS token FROM known),
-fixed AS (SELECT leaf, pos, token FROM codes GROUP BY ALL HAVING sum(n_docs) >= 10),
-shaped AS (SELECT leaf, line, w, n_docs, first_doc, first_text,
-                  list(pos::VARCHAR || ' ' || token ORDER BY pos) AS template
-           FROM codes JOIN fixed USING (leaf, pos, token) GROUP BY ALL HAVING 100 * count(*) >= 60 * len(w)),
-total AS (SELECT leaf, template, arg_min(first_text, first_doc) AS owner FROM shaped GROUP BY ALL HAVING sum(n_docs) >= 10),
+known AS (SELECT DISTINCT leaf, line, w, text FROM lines
+          WHERE leaf IN (SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT text) >= 10)),
+codes AS (SELECT leaf, line, w, text, unnest(range(len(w))) AS pos, unnest(w) AS token FROM known),
+fixed AS (SELECT leaf, pos, token FROM codes GROUP BY ALL HAVING count(DISTINCT text) >= 10),
+kinds AS (SELECT DISTINCT leaf, line, w FROM known),
+shaped AS (SELECT leaf, line, list(pos::VARCHAR || ' ' || token ORDER BY pos) AS template
+           FROM (SELECT leaf, line, w, unnest(range(len(w))) AS pos, unnest(w) AS token FROM kinds)
+           JOIN fixed USING (leaf, pos, token) GROUP BY leaf, line, w HAVING 100 * count(*) FILTER (WHERE token <> '<*>') >= 60 * len(w)),
+total AS (SELECT leaf, template, arg_min(text, doc_id) AS owner FROM shaped JOIN lines USING (leaf, line)
+          GROUP BY ALL HAVING count(DISTINCT text) >= 10),
 gone AS (SELECT leaf, line, owner FROM shaped JOIN total USING (leaf, template)),
 drops AS (SELECT DISTINCT l.doc_id, l.text, l.nth FROM lines l JOIN gone g ON l.leaf = g.leaf AND l.line = g.line AND l.text <> g.owner),
 kept AS (SELECT c.doc_id, c.text, string_agg(c.line, chr(10) ORDER BY c.nth) AS new, count(*) AS n
