@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -245,6 +246,28 @@ def test_text_behind_skipped_elements():
     assert [b.text for b in dom.blocks("<p>a</p><script>b<p>c")] == ["a"]
 
 
+def test_quotes_in_attributes():
+    texts = lambda page: [b.text for b in dom.blocks(page)]
+    page = "<p title=it's>First part.</p><p>Second part.</p><p>It's the end > now</p>"
+    assert texts(page) == ["First part.", "Second part.", "It's the end > now"]
+    assert texts('<p class="x>First.') == ["First."]
+    assert texts('<p class="x>First.</p><p id="y">Second.</p>') == ["Second."], "a quote is closed by the next one"
+    assert texts("<p a='1>2' b = \"x>'y\" c=\"\">z</p>") == ["z"] and texts("<p/ =x ='>y") == ["y"]
+    assert texts("a < b <3 <") == ["a < b <3 <"] and texts("<p>a</p><p b='") == ["a", "<p b='"]
+    for part in ('<p a="', "<a b='c>", "<", "< a", "<a ", "<svg ", "<!-", "<script "):
+        start = time.perf_counter()
+        dom.blocks(part * 100_000 + "x > y")
+        assert time.perf_counter() - start < 10, part
+
+
+def test_pages_of_every_kind(spark):
+    kind = "page_id long, url string, html string, text string, n_chars int, features string"
+    rows = [(1, "u", None, "t", 1, "f"), (2, None, "", "t", 1, "f"), (None, "u", "<p>" + "word " * 400_000 + "</p>", None, None, None)] * 2
+    got = html_extract.extract(spark.createDataFrame(rows, kind)).collect()
+    assert len(got) == 6 and sorted((r.page_id or 0, r.n_chars == 0) for r in got)[2:] == [(1, True)] * 2 + [(2, True)] * 2
+    assert html_extract.extract(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_held_out_pages():
     model = html_extract.default_model()
     right = total = 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 GROUP_CHARS = 1 << 20
 
 #: Words whose hash or ids a task keeps. The memory is emptied when it is full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,11 @@ def with_size_check(df: DataFrame, name: str, max_rows: int = 1_000_000) -> Data
     return F.broadcast(stored) if stored.count() <= max_rows else stored
 
 
+def text_groups(texts: pa.Array, limit: int = GROUP_CHARS) -> Iterator[slice]:
+    """Slices of an Arrow array of texts with about ``limit`` characters each."""
+    return groups(pc.fill_null(pc.utf8_length(texts), 0).to_pylist(), limit)
+
+
 def groups(sizes: Sequence[int], limit: int = GROUP_CHARS) -> Iterator[slice]:
     """Consecutive slices whose sizes add up to about ``limit``; an item above it stands alone."""
     start, total = 0, 0

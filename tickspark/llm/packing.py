@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import keyed, materialise
+from tickspark.llm.common import keyed, materialise, text_groups
 from tickspark.llm.tokens import VOCABULARY, encoder, pieces_of
 
 Pattern = tuple[tuple[int, ...], int]
@@ -38,15 +38,17 @@ def tokenised(docs: DataFrame, capacity: int, vocabulary: str) -> DataFrame:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            rows: list[tuple] = []
-            for d, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = enc.encode(text.as_py())
-                for k, (start, n) in enumerate(pieces_of(len(ids) // 4, capacity)):
-                    rows.append((d, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part in text_groups(batch["text"]):
+                rows: list[tuple] = []
+                for i in range(part.start, part.stop):
+                    d, ids = batch["doc_id"][i].as_py(), enc.encode(batch["text"][i].as_py())
+                    for k, (start, n) in enumerate(pieces_of(len(ids) // 4, capacity)):
+                        rows.append((d, k, start, n, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + n)])))
+                cols = list(zip(*rows, strict=True)) or [()] * 5
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.forget()
 
     return docs.mapInArrow(encoded, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

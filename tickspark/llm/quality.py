@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import keyed, materialise, with_size_check, words_of
+from tickspark.llm.common import keyed, materialise, text_groups, with_size_check, words_of
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -84,9 +84,11 @@ def quality_rules(
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [*[pa.int64()] * 5, pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for b in batches:
-            cols = list(zip(*(measure(t, min_line_words) for t in b["text"].to_pylist()), strict=True)) or [()] * 8
-            made = [pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["host"], b["text_hash"], *made], names=names)
+            for part in text_groups(b["text"]):
+                here = b.slice(part.start, part.stop - part.start)
+                cols = list(zip(*(measure(t.as_py(), min_line_words) for t in here["text"]), strict=True))
+                made = [pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([here["doc_id"], here["host"], here["text_hash"], *made], names=names)
 
     names = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
     source = keyed(docs, text, doc_id=doc_id, host=host).withColumns(

@@ -11,7 +11,10 @@ import tiktoken
 #: Ranks of the byte-level vocabulary; the same ids as byte_bpe_50k.json gives through the tokenizers library.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 END_OF_DOCUMENT = 2
-CACHE_CHUNKS = 500_000
+#: Bytes that remembered chunks may take in a task; the memory is emptied when they are used up.
+CACHE_BYTES = 24 << 20
+#: Bytes of one entry beside its text and ids.
+ENTRY_BYTES = 200
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -25,6 +28,7 @@ class Encoder(dict):
 
     def __init__(self, path: str = VOCABULARY):
         super().__init__()
+        self._held = 0
         with open(path, "rb") as lines:  # a file of the installed library, on every machine
             ranks = {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
         self._coder = tiktoken.Encoding(
@@ -35,13 +39,19 @@ class Encoder(dict):
         return self._coder.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_CHUNKS:
-            self.clear()
         value = self._ids(chunk)
         if len(chunk) <= 64:
+            self._held += ENTRY_BYTES + len(chunk) + len(value)
+            if self._held > CACHE_BYTES:
+                self.forget()
             self[chunk] = value
         return value
 
+    def forget(self) -> None:
+        """Empty the memory, as at the end of a task: a worker process serves many."""
+        self.clear()
+        self._held = 0
+
     def encode(self, text: str | None, end: bytes = END_OF_DOCUMENT.to_bytes(4, "little")) -> bytes:
         """Ids of the whole text and then the end mark."""
         if not text:
