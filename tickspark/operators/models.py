@@ -124,20 +124,16 @@ def _boosting(iterations: int, depth: int, learning_rate: float, feature_share:
     )
 
 
-def _prefix_margins(model, df: DataFrame, length: int) -> DataFrame:
-    """Add ``_margins``: the summed margin after each of the first ``length`` trees."""
+def _running_margins(model, df: DataFrame, length: int) -> tuple[DataFrame, list[str]]:
+    """``df`` with a column for each of the first ``length`` trees: the margin up to it, made from the one before."""
     scored, names = df, []
     for i, (tree, weight) in enumerate(zip(model.trees[:length], model.treeWeights[:length])):
         name = f"_tree{i}"
         one = tree.copy().setPredictionCol(name).setFeaturesCol(_FEATURES)
-        scored = one.transform(scored).withColumn(name, F.col(name) * F.lit(float(weight)))
+        before = F.col(names[-1]) if names else F.lit(0.0)
+        scored = one.transform(scored).withColumn(name, before + F.col(name) * F.lit(float(weight)))
         names.append(name)
-    trees = F.array(*names)
-    running = F.transform(
-        F.sequence(F.lit(1), F.lit(len(names))),
-        lambda upto: F.aggregate(F.slice(trees, F.lit(1), upto), F.lit(0.0), lambda a, b: a + b),
-    )
-    return scored.withColumn("_margins", running).drop(*names)
+    return scored, names
 
 
 def _margin_probability(margin: Column) -> Column:
@@ -146,9 +142,9 @@ def _margin_probability(margin: Column) -> Column:
 
 def prefix_quality(model, validation: DataFrame, metric: str) -> DataFrame:
     """Validation quality after each boosting round (one row per round, higher is better)."""
-    margins = _prefix_margins(model, validation, len(model.trees))
+    margins, names = _running_margins(model, validation, len(model.trees))
     rounds = margins.select(
-        GROUP, CANDIDATE, LABEL, _WEIGHT, F.posexplode("_margins").alias("_round", "_margin")
+        GROUP, CANDIDATE, LABEL, _WEIGHT, F.posexplode(F.array(*names)).alias("_round", "_margin")
     ).withColumn("model", F.col("_round") + 1)
     if metric == "topk_auc":
         table = rounds.withColumn(SCORE, _margin_probability(F.col("_margin")))
@@ -199,8 +195,8 @@ def fit_boosted(
         length = best_round([(row["model"], row["quality"]) for row in judged.collect()], patience)
 
     def apply(df: DataFrame) -> DataFrame:
-        margins = _prefix_margins(model, df, length)
-        return margins.withColumn(SCORE, _margin_probability(F.element_at("_margins", -1))).drop("_margins")
+        scored, names = _running_margins(model, df, length)
+        return scored.withColumn(SCORE, _margin_probability(F.col(names[-1]))).drop(*names)
 
     return Scorer(tuple(columns), apply)
 

@@ -145,32 +145,29 @@ def leg_prices(spark, sf_dir):
     )
 
 
-_LATE_RATES = ("rates", _RATES[1].replace("FROM ticks", "FROM ticks WHERE extract('hour' FROM trade_time) >= 6"))
-
-
-def late_rates(spark, sf_dir):
-    return bars.vwap_series(fx.ticks(spark, sf_dir).where(F.hour("trade_time") >= 6), "BTC-USDT")
+def minute_rates(spark, sf_dir):
+    return bars.vwap_series(fx.ticks(spark, sf_dir), "BTC-USDT")
 
 
 @plan(
     "j05_nearest_minute_rate",
     with_sql(
         TICKS,
-        _LATE_RATES,
+        _RATES,
         _rate_lookup("looked", "ticks", "trade_time"),
         select=f"SELECT t.trade_id, {r('l.rate', 'rate')} FROM ticks t LEFT JOIN looked l ON l.t = t.trade_time",
     ),
 )
 def nearest_minute_rate(spark, sf_dir):
     points = fx.ticks(spark, sf_dir).select("trade_id", "trade_time", F.lit("BTC-USDT").alias("symbol"))
-    return rounded(asof.nearest_minute_rate(points, late_rates(spark, sf_dir), "trade_time").select("trade_id", "rate"))
+    return rounded(asof.nearest_minute_rate(points, minute_rates(spark, sf_dir), "trade_time").select("trade_id", "rate"))
 
 
 @plan(
     "j06_currency_conversion",
     with_sql(
         TICKS,
-        _LATE_RATES,
+        _RATES,
         _rate_lookup("looked", "ticks", "trade_time"),
         select=f"""SELECT t.trade_id, {r("CASE t.trade_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN l.rate WHEN 2 THEN 1 / (l.rate / 100) END", 'quote_to_usdt')}
         FROM ticks t LEFT JOIN looked l ON l.t = t.trade_time""",
@@ -178,7 +175,7 @@ def nearest_minute_rate(spark, sf_dir):
 )
 def currency_conversion(spark, sf_dir):
     """USDT itself, a direct pair, an inverse pair, and an asset without any pair."""
-    direct = late_rates(spark, sf_dir)
+    direct = minute_rates(spark, sf_dir)
     inverse = direct.select(F.lit("USDT-EUR").alias("symbol"), "minute", (F.col("rate") / 100).alias("rate"))
     assets = F.array(F.lit("USDT"), F.lit("BTC"), F.lit("EUR"), F.lit("XYZ"))
     points = fx.ticks(spark, sf_dir).select("trade_id", "trade_time", F.get(assets, F.col("trade_id") % 4).alias("asset"))
