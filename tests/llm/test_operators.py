@@ -181,7 +181,7 @@ def test_leaks_and_parameters(spark, documents):
     half = " ".join(item.split()[:14])
     texts = [
         None, "", prose(rng, 50) + " " + item + " " + prose(rng, 30), prose(rng, 40) + " " + other, broken, half,
-        prose(rng, 300), "the answer is simply forty two", item.upper(), prose(rng, 20) + "\n" + item.replace(" ", "\n"),
+        prose(rng, 300), "the answer is simply forty two", "", prose(rng, 20) + "\n" + item.replace(" ", "\n"),
     ]
     items = benchmark(spark, [item, None, "", "too short", "answer is simply forty two", prose(rng, 40)])
     got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(documents(texts), items).collect()}
@@ -230,6 +230,43 @@ def test_leaks_of_edited_copies(spark, documents):
     assert all(got[i].n_found < len(w) - 7 - 7 for i in (5, 6) if i in got), "parts that disagree do not count together"
 
 
+def test_leaks_in_any_case_and_number_words(spark, documents):
+    rng = random.Random(13)
+    item = (
+        "A farmer named Alice sells 12 kg of apples to Bob for 3 dollars and then Alice buys 12 pears "
+        "while Bob keeps 7 kg of apples for himself at home"
+    )
+    other = item.replace("12", "45").replace(" 3 ", " 9 ").replace(" 7 ", " 8 ")
+    spelt = item.replace("12", "twelve").replace(" 3 ", " three ").replace(" 7 ", " Seven, ")
+    texts = [
+        item.upper(), item.lower(), item.title(), other.lower(), spelt, other.replace("45 pears", "forty-five pears"),
+        other.replace("45 pears", "forty-six pears"), spelt.upper(),
+    ]
+    texts = [f"{prose(rng, 30)}\n{t}\n{prose(rng, 30)}" for t in texts]
+    got = {r.doc_id: r for r in decontaminate.leaks(documents(texts), benchmark(spark, [item])).collect()}
+    assert set(got) >= {0, 1, 2, 3, 4, 5, 7}
+    assert [got[i].reparameterised for i in (0, 1, 2, 3, 4, 5)] == [False, False, False, True, False, True]
+    assert 6 not in got or got[6].n_found < got[5].n_found
+
+
+def test_rows_of_numbers_and_repeats_are_no_leaks(spark, documents):
+    numbers, chant = "1 2 3 5 8 13 21 34 55 89 144 233", " ".join(["la"] * 60)
+    items = benchmark(spark, [numbers, chant, "Which 12 34 56 78 90 11 13 15 17 19 21 23 25", "short one", "Alice"])
+    rows = "12.5 3.1 0.7 4 5 6 7 8 9 10 11 12 13 14\n" * 3
+    texts = [rows, f"so {numbers} it goes", " ".join(["la"] * 12), chant.upper(), "a SHORT one, here", "one short", "alice!", "5 6 7 8 9"]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(texts), items).collect()}
+    assert got == {(1, 0), (3, 1), (4, 3), (6, 4)}
+    assert decontaminate.leaks(documents([]), items).count() == 0
+
+
+def test_leaks_of_rows_without_id(spark):
+    text = "the quick brown fox jumps over the lazy dog while nobody looks at it from the window"
+    docs = spark.createDataFrame([(None, text, 1), (None, "clean", 2), (7, text, 3), (7, text, 4), (8, "x " * 20_000 + text, 5)], "doc_id long, text string, h long")
+    items = benchmark(spark, [text])
+    assert sorted((r.doc_id or 0) for r in decontaminate.leaks(docs, items).collect()) == [0, 7, 8]
+    assert [r.h for r in decontaminate.drop_leaks(docs, items).collect()] == [2]
+
+
 # --- Page extraction --------------------------------------------------------------------------------
 
 
