@@ -52,7 +52,16 @@ WORD_VALUES = {
     **{w: n for n, w in enumerate(ONES)}, **{w: 10 * n for n, w in enumerate(TENS, 2)},
     **{f"{t}-{o}": 10 * n + k for n, t in enumerate(TENS, 2) for k, o in enumerate(ONES[:10]) if k}, **LARGE,
 }
-NUMBER_WORD = f"(?=[zotfsenhmb])(?:(?:{'|'.join(TENS)})(?:-(?:{'|'.join(ONES[1:10])}))?|{'|'.join(reversed(ONES))}|{'|'.join(LARGE)})"
+
+
+def _number_word() -> str:
+    """The pattern of number words, by first letter, so that other words are left at once."""
+    words = sorted([*ONES, *TENS, *LARGE], reverse=True)
+    by_letter = {w[0]: "|".join(x[1:] for x in words if x[0] == w[0]) for w in words}
+    return f"(?:{'|'.join(f'{k}(?:{v})' for k, v in by_letter.items())})(?:(?<=ty)-(?:{'|'.join(ONES[1:10])}))?"
+
+
+NUMBER_WORD = _number_word()
 
 
 def spaced(text: Column) -> Column:
