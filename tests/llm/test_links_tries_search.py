@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from hashlib import sha256
 from zlib import crc32
 
+import numpy as np
 import pytest
 import xxhash
 from tests.llm import brute
@@ -227,3 +228,20 @@ def test_search_of_empty_tables(spark, documents):
     assert lexical.search(documents([]), items).count() == 0
     assert lexical.search(documents(["a b"]), items.limit(0)).count() == 0
     assert lexical.search(documents(["a b"] * 3, [1, 1, 1]), items).count() == 3
+
+
+def test_forest_keeps_links_and_components():
+    def roots(links):
+        of = {}
+        for a, b in links:
+            x, y = of.setdefault(a, a), of.setdefault(b, b)
+            of = {n: min(x, y) if r in (x, y) else r for n, r in of.items()}
+        return of
+
+    for seed in range(100):
+        rng = random.Random(seed)
+        links = {(rng.randrange(40), 40 + rng.randrange(30)) for _ in range(rng.randrange(60))}
+        a, b = (np.array(x, np.uint64) for x in (zip(*links) if links else ((), ())))
+        kept = list(zip(*(x.tolist() for x in simhash.forest(a, b)), strict=True))
+        assert set(kept) <= links and roots(kept) == roots(links)
+        assert len(kept) == len(roots(links)) - len(set(roots(links).values()))

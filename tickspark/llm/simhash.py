@@ -4,7 +4,8 @@ A fingerprint's bit is set if it is set in over half of the 64-bit hashes of the
 included. Two fingerprints within ``2 r`` bits have a word between them that is within ``r`` bits of both, so every
 fingerprint stands for all its variants within ``r`` bits, and equal variants meet. Whoever shares a variant is
 within ``2 r`` bits of everyone there: a meeting of n fingerprints gives n - 1 links to its smallest, never all pairs,
-and no link of the relation is lost for the components. Links are confirmed before they are used.
+and no link of the relation is lost for the components. Links are confirmed before they are used, and a task passes
+on only as many as hold its components together.
 
 The shuffle carries variants by their leading bits: one row for each way to change up to ``r`` of the first 16 bits
 (137 rows for r = 2) stands for all variants that begin so (2,081 in all), and the task that receives it writes out the
@@ -79,6 +80,27 @@ def changes(bits: int, most: int) -> list[int]:
     return [sum(1 << b for b in some) for k in range(most + 1) for some in combinations(range(bits), k)]
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links (a, b) that connect what all of them connect: one fewer than each component has nodes.
+
+    In every round each component takes its first link to a smaller one, if it has any.
+    """
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root, left, right = np.arange(len(nodes)), ends[: len(a)], ends[len(a) :]
+    kept = [np.empty(0, np.int64)]
+    while len(apart := np.flatnonzero(root[left] != root[right])):
+        x, y = root[left[apart]], root[right[apart]]
+        larger, first = np.unique(np.maximum(x, y), return_index=True)
+        root[larger] = np.minimum(x, y)[first]
+        kept.append(apart[first])
+        while (further := root[root] != root).any():
+            root[further] = root[root[further]]
+    some = np.concatenate(kept)
+    return a[some], b[some]
+
+
 def _cut(rows: DataFrame, level: int, radius: int) -> DataFrame:
     """(key, fp, used): rows of (key, fp, used) with keys of ``level`` steps, cut by one step of bits more.
 
@@ -97,7 +119,7 @@ def _cut(rows: DataFrame, level: int, radius: int) -> DataFrame:
 
 
 def _met(level: int, radius: int):
-    """Of one group of rows (key, fp, used): links (a, b) of fingerprints that share a variant."""
+    """Of one group of rows (key, fp, used): links (a, b) that connect those sharing a variant."""
     low = BITS - STEP * level
     masks = [np.array(changes(low, radius - used), U) for used in range(radius + 1)]
 
@@ -113,8 +135,8 @@ def _met(level: int, radius: int):
         starts = np.flatnonzero(np.concatenate(([True], variants[1:] != variants[:-1])))
         least = np.repeat(np.minimum.reduceat(owners, starts), np.diff(np.append(starts, len(variants))))
         linked = (least != owners) & (np.bitwise_count(least ^ owners) <= 2 * radius)
-        pairs = np.unique(np.column_stack([least[linked], owners[linked]]).view(np.int64), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        a, b = forest(least[linked], owners[linked])
+        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     return links
 
