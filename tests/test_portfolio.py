@@ -129,6 +129,24 @@ def test_neighbours_match_brute_force(spark):
         assert [found[i][k] for k in range(1, 6)] == list(np.argsort(d)[:5])
 
 
+def test_neighbours_of_many_blocks_on_many_partitions(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(60, 4))
+    x[30:40] = x[:10]  # exact copies: a tie goes to the smaller index
+    points = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "_i BIGINT, _x ARRAY<DOUBLE>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = oversample.nearest_neighbours(points, 3, block_rows=8).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = {(r._i, r.rank): r._j for r in rows}
+    for i in range(60):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        assert [found.get((i, k)) for k in (1, 2, 3)] == list(np.argsort(d, kind="stable")[:3])
+
+
 def test_best_round_patience():
     assert best_round([(1, 0.1), (2, 0.3), (3, 0.2), (4, 0.9)], patience=10) == 4
     assert best_round([(1, 0.1), (2, 0.3), (3, 0.2), (4, 0.2), (5, 0.9)], patience=2) == 2

@@ -14,6 +14,9 @@ from tickspark.names import LABEL, quoted
 from tickspark.operators.running import dense_index, hash_order
 
 _BLOCK_ROWS = 2048
+# Every point is sent once to each block, so blocks grow with the table rather than their number.
+_FEW_BLOCKS, _LARGE_BLOCK_ROWS = 16, 32_768
+_ROUGH_ROWS, _GROUP = 64, 32
 
 
 def unit_hash(text: Column) -> Column:
@@ -33,25 +36,52 @@ def nearest_neighbours(points: DataFrame, k: int, block_rows: int = _BLOCK_ROWS)
     and candidates are merged. Tasks hold two blocks at a time and no pair of points ever becomes
     a row, whatever the number of points.
     """
-    blocks = max(1, math.ceil(points.count() / block_rows))
+    n = points.count()
+    blocks = max(1, min(math.ceil(n / block_rows), _FEW_BLOCKS + math.ceil(n / _LARGE_BLOCK_ROWS)))
+    # Both sides need the same types: cogroup places keys by their hash and casts nothing.
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    block = F.col("_i") % blocks
+    block = (F.col("_i") % blocks).cast("int")
     asking = points.select("_i", "_x", block.alias("_a")).withColumn("_b", others)
     offered = points.select(F.col("_i").alias("_j"), F.col("_x").alias("_y"), block.alias("_b")).withColumn("_a", others)
 
+    def closest_rows(asked: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """The k nearest rows of ``y`` for each row of ``x``, ties by id: (asked, id, distance).
+
+        One matrix product gives rough squares. All rows within its rounding error of the k-th are measured
+        again, coordinate by coordinate, and only those distances decide.
+        """
+        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        rough = xx[:, None] + yy[None, :] - 2.0 * (x @ y.T)
+        own = asked[:, None] == ids[None, :]
+        rough[own] = np.inf
+        # The k-th smallest of the groups' minima is no smaller than the k-th smallest value.
+        groups = len(ids) // _GROUP
+        least = rough[:, : groups * _GROUP].reshape(len(x), groups, _GROUP).min(axis=2) if groups > k else rough
+        place = min(k, least.shape[1]) - 1
+        error = 8.0 * (x.shape[1] + 4) * np.finfo(np.float64).eps * (xx + yy.max())
+        bound = np.partition(least, place, axis=1)[:, place] + 2.0 * error
+        row, column = np.nonzero(~(rough > bound[:, None]) & ~own)  # what is not a number stays for the exact step
+        square = np.zeros(len(row))
+        for d in range(x.shape[1]):
+            step = x[row, d] - y[column, d]
+            square += step * step
+        distance = np.sqrt(square)
+        finite = np.isfinite(distance)
+        row, column, distance = row[finite], column[finite], distance[finite]
+        order = np.lexsort((ids[column], distance, row))
+        row, column, distance = row[order], column[order], distance[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return [asked[row[keep]], ids[column[keep]], distance[keep]]
+
     def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"_i": [], "_j": [], "_d": []}, dtype="float64").astype({"_i": "int64", "_j": "int64"})
-        right = right.sort_values("_j")
         x, y = np.stack(left["_x"].to_numpy()), np.stack(right["_y"].to_numpy())
-        ids, out = right["_j"].to_numpy(), []
-        for i, row in zip(left["_i"].to_numpy(), x):
-            distance = ((y - row) ** 2).sum(axis=1)
-            distance[ids == i] = np.inf
-            keep = np.argsort(distance, kind="stable")[:k]
-            keep = keep[np.isfinite(distance[keep])]
-            out.append(pd.DataFrame({"_i": i, "_j": ids[keep], "_d": distance[keep]}))
-        return pd.concat(out, ignore_index=True)
+        asked, ids, out = left["_i"].to_numpy(), right["_j"].to_numpy(), []
+        for start in range(0, len(x), _ROUGH_ROWS):
+            near = closest_rows(asked[start : start + _ROUGH_ROWS], x[start : start + _ROUGH_ROWS], ids, y)
+            out.append(near)
+        return pd.DataFrame({name: np.concatenate(parts) for name, parts in zip(("_i", "_j", "_d"), zip(*out))})
 
     candidates = (
         asking.groupBy("_a", "_b")
