@@ -223,3 +223,16 @@ def test_large_values_round_as_in_sql(spark):
     values = [546804.5609644989, 542785.4643244989, 0.0000005, -1.5, float("inf"), None]
     got = [row.v for row in rounded(spark.createDataFrame([(v,) for v in values], "v DOUBLE")).collect()]
     assert got == [duckdb.execute(f"SELECT {r('CAST($1 AS DOUBLE)', 'v')}", [v]).fetchone()[0] for v in values]
+
+
+def test_active_symbols_are_made_distinct_before_they_meet_the_events(spark, at):
+    import re
+
+    ticks = spark.createDataFrame([("A-BTC", "2024-01-01"), ("B-BTC", "2024-01-02"), ("B-BTC", "2024-01-01"), ("C-BTC", "2024-01-04")], "symbol STRING, date STRING")
+    marks = [("x", "2024-01-01 01:00:00"), ("y", "2024-01-01 02:00:00"), ("y", "2024-01-04 02:00:00"), ("z", "2024-01-09 00:00:00")]
+    marked = spark.createDataFrame([(h, at(t)) for h, t in marks], "pump_hash STRING, pump_time TIMESTAMP_NTZ")
+    active = tick_source.active_symbols(ticks.withColumn("date", F.to_date("date")), marked, F.col("pump_time"), F.col("pump_time"))
+    want = [("x", "A-BTC"), ("x", "B-BTC"), ("y", "A-BTC"), ("y", "B-BTC"), ("y", "C-BTC")]
+    assert sorted((r.pump_hash, r.symbol) for r in active.collect()) == want
+    plan = active._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[pump_hash#\d+, symbol#\d+\]", plan)

@@ -154,13 +154,18 @@ def active_symbols(ticks: DataFrame, events: DataFrame, start: Column, end: Colu
     """Symbols with data on any date of each event's interval, limited to pairs quoted in ``quote_asset``.
 
     (date, symbol) pairs are deduplicated before they meet the events, so fills are reduced where
-    they are read; on a store partitioned by both columns only directory names are read.
+    they are read; on a store partitioned by both columns only directory names are read. Symbols are made distinct
+    once for each set of dates, of which there are far fewer than events.
     """
     pairs = ticks.select("date", "symbol").distinct()
     if quote_asset is not None:
         pairs = pairs.where(F.col("symbol").endswith(f"-{quote_asset}"))
     days = F.sequence(F.to_date(start), F.to_date(end), F.expr("INTERVAL 1 DAY"))
-    return events.withColumn("date", F.explode(days)).join(pairs, "date").select("pump_hash", "symbol").distinct()
+    dated = events.select("pump_hash", F.explode(days).alias("date")).groupBy("pump_hash")
+    dated = dated.agg(F.sort_array(F.collect_set("date")).alias("dates"))
+    spans = dated.select("dates").distinct()
+    seen = spans.withColumn("date", F.explode("dates")).join(pairs, "date").select("dates", "symbol").distinct()
+    return seen.join(dated, "dates").select("pump_hash", "symbol")
 
 
 def first_date(ticks: DataFrame) -> DataFrame:
