@@ -6,7 +6,16 @@ from pyspark.sql import functions as F
 
 from tickspark.names import INTERVALS, regressor_columns
 from tickspark.operators import panel as pn
-from tickspark.operators.features import FeatureWindows, event_features, features_from_orders
+from tickspark.operators.features import (
+    FeatureWindows,
+    event_features,
+    features_from_orders,
+    prior_event_count,
+    roll_up,
+    segment_partials,
+    slice_pieces,
+)
+from tickspark.operators.orders import hourly_orders
 
 ORDERS = [
     # time, first, last, prev, quote_abs, quote_sign, slippage_abs, slippage_sign, long
@@ -181,3 +190,46 @@ def test_median_fill_reads_only_what_is_missing(spark):
     assert sorted(map(tuple, filled.select("pump_hash", "x", "y").collect())) == [
         ("a", 1.0, 6.0), ("a", 3.0, 6.0), ("a", 5.0, 6.0), ("b", 7.0, 4.0), ("b", 9.0, 8.0)
     ]
+
+
+def test_feature_pieces_are_summed_where_they_are_made(spark, at):
+    """What the join makes is not shuffled again: only fills, hours and the few edge-hour sums are."""
+    ticks = spark.createDataFrame(
+        [(1, "AAA-BTC", at("2021-01-01 08:00:00"), 10.0, 2.0, False)],
+        "trade_id BIGINT, symbol STRING, trade_time TIMESTAMP_NTZ, price DOUBLE, quantity DOUBLE, is_buyer_maker BOOLEAN",
+    )
+    events = event_frame(spark, at)
+    windows = FeatureWindows(offsets={"1H": timedelta(hours=1)}, decays={})
+    rows = roll_up(segment_partials(slice_pieces(hourly_orders(ticks), events, windows), windows), windows)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Union")]
+    assert "HashAggregate" in above and "Exchange" not in above
+
+
+def test_return_without_a_level_is_nan(spark, at):
+    """0/0 is NaN in returns and in the spread of bars, as in their SQL."""
+    price = {"07:10:00": 0.0, "08:10:00": 0.0, "08:20:00": 0.0, "08:30:00": 0.0}
+    ticks = spark.createDataFrame(
+        [(i, "AAA-BTC", at(f"2021-01-01 {t}"), p, 1.0, False) for i, (t, p) in enumerate(price.items())],
+        "trade_id BIGINT, symbol STRING, trade_time TIMESTAMP_NTZ, price DOUBLE, quantity DOUBLE, is_buyer_maker BOOLEAN",
+    )
+    windows = FeatureWindows(offsets={"1H": timedelta(hours=1)}, decays={})
+    row = event_features(ticks, event_frame(spark, at), windows).first()
+    assert math.isnan(row["asset_return@1H"]) and math.isnan(row["asset_return_zscore@1H"])
+
+
+def test_prior_events_of_one_time_and_none(spark, at):
+    labels = spark.createDataFrame(
+        [("1", "A", at("2021-01-01 00:00:00")), ("2", "A", at("2021-01-01 00:00:00")), ("3", "A", at("2021-01-03 00:00:00"))],
+        "pump_hash STRING, pumped_currency_pair STRING, pump_time TIMESTAMP_NTZ",
+    )
+    times = ["2021-01-01", "2021-01-02", "2021-01-03", "2021-01-04"]
+    asked = spark.createDataFrame(
+        [(s, at(f"{t} 00:00:00")) for s in "AB" for t in times], "currency_pair STRING, pump_time TIMESTAMP_NTZ"
+    )
+    counted = prior_event_count(asked, labels)
+    got = {(r.currency_pair, r.pump_time.day): r.num_prev_pump for r in counted.collect()}
+    assert [got["A", d] for d in (1, 2, 3, 4)] == [0, 2, 2, 3] and not any(got["B", d] for d in (1, 2, 3, 4))
+    # The candidates are read once and sorted into no window.
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("currency_pair#") and "Union" not in plan
