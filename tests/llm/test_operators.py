@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.llm import brute
 
-from tickspark.llm import decontaminate, dom, html_extract, langid, line_dedup, near_dup, packing, queries, secrets, substring, token_output
+from tickspark.llm import decontaminate, dom, html_extract, langid, line_dedup, near_dup, packing, queries, secrets, substring, token_output, tokens
 from tickspark.llm import quality as quality_rules
 
 SMALL = "/root/testdata/sf0.001"
@@ -390,3 +390,18 @@ def test_near_drop_keeps_the_first_of_each_group(spark, documents):
 def test_quality_hosts_without_a_name(spark, documents):
     docs = documents(["w " * 3, "one two three four five six seven eight nine ten eleven"], source=None)
     assert [r.kept for r in quality_rules.quality_rules(docs).orderBy("doc_id").collect()] == [False, True]
+
+
+def test_a_text_is_encoded_in_one_call(monkeypatch):
+    coder = tokens.Encoder()
+    calls = []
+
+    class Counted:
+        def encode_to_numpy(self, text, **options):
+            calls.append(text)
+            return plain.encode_to_numpy(text, **options)
+
+    plain, coder._coder = coder._coder, Counted()
+    text = " ".join(f"w{i}x" for i in range(500)) + "  two blanks\n\n"
+    assert coder.encode(text)[:-4] == plain.encode_to_numpy(text).astype("<u4").tobytes()
+    assert calls == [text] and coder.encode(None) == coder.encode("") == (2).to_bytes(4, "little")

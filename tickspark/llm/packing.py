@@ -48,7 +48,6 @@ def tokenised(docs: DataFrame, capacity: int, vocabulary: str) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(made, names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        enc.forget()
 
     return docs.mapInArrow(encoded, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
