@@ -72,13 +72,15 @@ def spaced(text: Column) -> Column:
 def canonical(words: Column) -> Column:
     """The template of a spaced text, word by word: splitting both at blanks lines them up."""
     # a name: a capital inside a sentence, of which a text in capitals has none
-    name = r"(?<=\p{Ll} |\p{Ll}[,;:] )\p{Lu}[\p{L}'’-]*|(?<=[›,;:] )\p{Lu}(?=[\p{Ll}'’-]|(?!\p{L}))[\p{L}'’-]*"
+    # the capital is looked for first: what stands before it is only looked at there
+    name = r"(?=\p{Lu})(?:(?<=\p{Ll} |\p{Ll}[,;:] )\p{Lu}[\p{L}'’-]*|(?<=[›,;:] )\p{Lu}(?=[\p{Ll}'’-]|(?!\p{L}))[\p{L}'’-]*)"
     return bare(F.regexp_replace(_numbered(words), name, NAME))
 
 
 def bare(words: Column) -> Column:
     """Lower case without outer punctuation, unless a word is nothing else."""
-    x = F.regexp_replace(words, r"(?<=[^ ])[^\p{L}\p{N}‹› %]++(?= |$)|(?<= |^)[^\p{L}\p{N}‹› %]++(?=[^ ])", "")
+    mark = r"[^\p{L}\p{N}‹› %]"
+    x = F.regexp_replace(words, rf"(?={mark})(?:(?<=[^ ]){mark}++(?= |$)|(?<= |^){mark}++(?=[^ ]))", "")
     return F.lower(x)
 
 
