@@ -173,3 +173,19 @@ def test_backtest_stops_without_a_rate(spark, at):
     market = orders.aggregate_orders(ticks)
     with pytest.raises(Exception, match="no indicative price for BTC"):
         portfolio.backtest(legs.drop("weight"), ticks, market, rates.where("rate < 0"), config).collect()
+
+
+def test_events_of_a_cross_section_share_its_best_candidates(spark, at):
+    """Portfolios over the shared best equal those over every (event, symbol), and few rows are made."""
+    events = spark.createDataFrame(
+        [(f"E{i}", "S1", at("2021-01-02 12:00:00"), i % 2) for i in range(20)],
+        "pump_hash STRING, pumped_currency_pair STRING, pump_time TIMESTAMP_NTZ, d INT",
+    )
+    scores = [0.5, 0.5, None, float("nan"), 0.5, 0.1, 0.9, None]
+    scored = spark.createDataFrame([(f"S{i}", d, s) for d in (0, 1, 2) for i, s in enumerate(scores[d:])], "currency_pair STRING, d INT, score DOUBLE")
+    columns = ["pump_hash", "currency_pair", "rank", "weight"]
+    for k in (1, 3, 7):
+        shared = portfolio.shared_candidates(events, scored, ["d"], k)
+        assert shared.count() == 20 * k
+        got = portfolio.select_top_k(shared, k).select(columns).collect()
+        assert sorted(got) == sorted(portfolio.select_top_k(events.join(scored, "d"), k).select(columns).collect())

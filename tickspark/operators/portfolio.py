@@ -77,6 +77,18 @@ def select_top_k(scored: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFra
     return top.withColumn("weight", F.lit(1.0) / size).withColumnRenamed("_rank", "rank")
 
 
+def shared_candidates(events: DataFrame, scored: DataFrame, on: Sequence[str], k: int) -> DataFrame:
+    """Candidates of events that share cross-sections, as far as portfolios of up to ``k`` can choose them.
+
+    Events with equal ``on`` see the same scored symbols in the same order, so each cross-section is ranked once and
+    its best ``k`` meet the events: the candidates grow with the events, and not with events times symbols.
+    """
+    _at_least_one("k", k)
+    best_first = Window.partitionBy(*on).orderBy(sort_score().desc(), CANDIDATE)
+    best = scored.withColumn("_rank", F.row_number().over(best_first)).where(F.col("_rank") <= k).drop("_rank")
+    return events.join(best, list(on))
+
+
 def has_target(portfolio: DataFrame) -> DataFrame:
     return portfolio.groupBy(GROUP).agg(F.bool_or(F.col(CANDIDATE) == F.col(TARGET)).alias("has_pump"))
 

@@ -32,17 +32,21 @@ _RATES = (
 )
 
 
+_LEGS = 3
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    volume = fx.ticks(spark, sf_dir).groupBy("symbol", F.to_date("trade_time").alias("d")).agg(
+    """The candidates that portfolios of up to three legs can hold: a date's events share its best symbols."""
+    volume = fx.ticks(spark, sf_dir).groupBy(F.col("symbol").alias(CANDIDATE), F.to_date("trade_time").alias("d")).agg(
         F.round(F.sum(F.col("price") * F.col("quantity")) + F.lit(1e-6), 3).alias(SCORE)
     )
     labels = fx.labels(spark, sf_dir).withColumn("d", F.to_date(EVENT_TIME))
-    return labels.join(volume, "d").select(
+    return portfolio.shared_candidates(labels, volume, ["d"], _LEGS).select(
         GROUP,
         EVENT_TIME,
         TARGET,
-        F.col("symbol").alias(CANDIDATE),
-        (F.col("symbol") == F.col(TARGET)).alias(LABEL),
+        CANDIDATE,
+        (F.col(CANDIDATE) == F.col(TARGET)).alias(LABEL),
         SCORE,
     )
 
@@ -139,7 +143,7 @@ def _leg_prices_cte(source: str = "portfolio", before: str = "INTERVAL 15 MINUTE
     ),
 )
 def leg_prices(spark, sf_dir):
-    chosen = portfolio.select_top_k(candidates(spark, sf_dir), 3)
+    chosen = portfolio.select_top_k(candidates(spark, sf_dir), _LEGS)
     return asof.leg_prices(chosen, market(spark, sf_dir)).select(
         GROUP, CANDIDATE, "entry_price", "entry_ts", "exit_price", "exit_ts"
     )
@@ -471,8 +475,8 @@ def best_exit_example(spark, sf_dir):
 
 # --- Execution ------------------------------------------------------------------------------------------------
 
-_CONFIG = portfolio.ExecutionConfig(portfolio_size=3, use_price_impact=True, order_notional_usdt=100.0, exit_window=_EXIT_DAYS)
-_RAW_CONFIG = portfolio.ExecutionConfig(portfolio_size=3)
+_CONFIG = portfolio.ExecutionConfig(portfolio_size=_LEGS, use_price_impact=True, order_notional_usdt=100.0, exit_window=_EXIT_DAYS)
+_RAW_CONFIG = portfolio.ExecutionConfig(portfolio_size=_LEGS)
 
 
 def _execution(sizes: str, with_impact: bool) -> list[tuple[str, str]]:
@@ -554,7 +558,7 @@ _LEG_COLUMNS = ["entry_price", "exit_price", "filled_quote", "entry_usdt", "exit
 )
 def executed_legs(spark, sf_dir):
     """Top-3 legs sized at 100 USDT with entry and exit models, the target's exit in its own regime."""
-    chosen = portfolio.select_top_k(candidates(spark, sf_dir), 3)
+    chosen = portfolio.select_top_k(candidates(spark, sf_dir), _LEGS)
     reference = rates(spark, sf_dir)
     legs = portfolio.quoted_legs(chosen, market(spark, sf_dir), reference, _CONFIG)
     models = portfolio.impact_models(chosen, fx.ticks(spark, sf_dir), reference, _CONFIG)
@@ -589,7 +593,7 @@ def backtest_with_impact(spark, sf_dir):
 
 @plan("a27_has_target", with_sql(TICKS, LABELS, _CANDIDATES, _TOP, select="SELECT pump_hash, bool_or(is_pumped) AS has_pump FROM portfolio GROUP BY pump_hash"))
 def has_target(spark, sf_dir):
-    return portfolio.has_target(portfolio.select_top_k(candidates(spark, sf_dir), 3))
+    return portfolio.has_target(portfolio.select_top_k(candidates(spark, sf_dir), _LEGS))
 
 
 @plan("a28_overall_pnl", with_sql(*_execution("1.0::DOUBLE", False), select=f"SELECT {r('sum(pnl)', 'overall_pnl')} FROM stats"))
@@ -650,7 +654,7 @@ def _sweep_sql() -> str:
 def timing_sweep(spark, sf_dir):
     minutes = lambda *values: [timedelta(minutes=v) for v in values]
     swept = portfolio.sweep_parameters(
-        candidates(spark, sf_dir), market(spark, sf_dir), rates(spark, sf_dir), [1, 3], minutes(15, 60), minutes(1, 15)
+        candidates(spark, sf_dir), market(spark, sf_dir), rates(spark, sf_dir), [1, _LEGS], minutes(15, 60), minutes(1, 15)
     )
     return rounded(swept)
 
