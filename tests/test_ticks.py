@@ -167,6 +167,34 @@ def test_minute_candles(spark):
     assert [r.close_price for r in grid.orderBy("open_time").collect()] == [1.0, 3.0, None, None]
 
 
+def test_minute_grid_shuffles_candles_only(spark, at):
+    """Against a plain join: bounds inside days, off-minute and repeated candles, a day without any; no minute is shuffled."""
+    opened = ["01 23:58:00", "02 00:00:00", "02 00:00:00", "02 00:00:30", "02 00:03:00", "02 23:59:00", "04 00:01:00", "04 00:05:00"]
+    rows = [(s, at(f"2024-01-{t}"), float(i)) for s in ("A", "B") for i, t in enumerate(opened) if s == "A" or i % 3]
+    rows += [("C", at("2024-01-04 09:00:00"), 1.0), ("D", at("2024-01-05 00:00:00"), 1.0), ("E", at("2024-01-01 00:00:00"), 2.0)]
+    candles = spark.createDataFrame(rows, "symbol STRING, open_time TIMESTAMP_NTZ, close_price DOUBLE")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for start, end in [("01 23:57:30", "04 00:04:30"), ("02 00:00:00", "03 00:00:00"), ("02 00:02:00", "02 00:03:00")]:
+            start, end = at(f"2024-01-{start}"), at(f"2024-01-{end}")
+            grid = candle_source.minute_grid(candles, start, end)
+            first = start.replace(second=0) + timedelta(minutes=1 if start.second else 0)
+            minutes = []
+            while first < end:
+                minutes.append(first)
+                first += timedelta(minutes=1)
+            want = []
+            for symbol in sorted({s for s, t, _ in rows if start.date() <= t.date() <= end.date()}):
+                for minute in minutes:
+                    found = [v for s, t, v in rows if s == symbol and t == minute]
+                    want += [(symbol, minute, v) for v in found or [None]]
+            key = lambda r: (r[0], r[1], r[2] or -1.0)
+            assert sorted(map(tuple, grid.collect()), key=key) == sorted(want, key=key)
+            assert "hashpartitioning(symbol#" in (shown := grid._jdf.queryExecution().toString()) and "Join" not in shown
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # --- Bucketed operators against brute force ------------------------------------------------------------
 
 

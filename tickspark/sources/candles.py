@@ -8,9 +8,10 @@ from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickspark.functions.calendar import floor_time, start_of_day
 from tickspark.functions.numeric import coerce_numeric
 from tickspark.names import CANDLE_COLUMNS
 
@@ -58,18 +59,33 @@ def clean_candles(candles: DataFrame, order: str = "position") -> DataFrame:
 def minute_grid(candles: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Candles of [start, end) on a full grid of minutes per symbol, NULL where a minute has none.
 
-    A symbol without any candle on the interval's dates has no grid.
+    A symbol without any candle on the interval's dates has no grid. The grid is made between the candles of each
+    (symbol, date), of which only the candles and one anchor a date are shuffled, and never the minutes.
     """
     begin = start.replace(second=0, microsecond=0)
     first = begin if begin == start else begin + timedelta(minutes=1)
     last = (end - timedelta(microseconds=1)).replace(second=0, microsecond=0)
-    lo, hi = (F.lit(x).cast("timestamp_ntz") for x in (first, last))
-    on_dates = F.to_date("open_time").between(F.lit(start.date()), F.lit(end.date()))
-    symbols = candles.where(on_dates).select("symbol").distinct()
     if last < first:
         return candles.where(F.lit(False))
-    grid = symbols.withColumn("open_time", F.explode(F.sequence(lo, hi, F.expr("INTERVAL 1 MINUTE"))))
-    return grid.join(candles.where(on_dates), ["symbol", "open_time"], "left")
+    lo, hi = (F.lit(x).cast("timestamp_ntz") for x in (first, last))
+    t, minute, day = F.col("open_time"), F.expr("INTERVAL 1 MINUTE"), F.expr("INTERVAL 1 DAY")
+    dated = candles.where(F.to_date(t).between(F.lit(start.date()), F.lit(end.date())))
+    days = F.sequence(start_of_day(lo), start_of_day(hi), day)
+    anchors = dated.select("symbol").distinct().withColumn("_day", F.explode(days))
+    anchors = anchors.select("symbol", "_day", F.greatest(F.col("_day"), lo).alias("open_time"), F.lit(True).alias("_anchor"))
+    placed = dated.where(F.col("symbol").isNotNull() & t.between(lo, hi) & (t == floor_time(t, 60)))
+    line = placed.withColumns({"_day": start_of_day(t), "_anchor": F.lit(False)}).unionByName(anchors, allowMissingColumns=True)
+    within = Window.partitionBy("symbol", "_day").orderBy("open_time", "_anchor")
+    stop = F.coalesce(F.lead("open_time").over(within), F.least(F.col("_day") + day, hi + minute))
+    held = F.col("_anchor") & F.lag("open_time").over(within).eqNullSafe(t)  # a candle has this minute already
+    spans = line.withColumns({"_stop": stop, "_from": F.when(held, t + minute).otherwise(t)})
+    # Candles of one minute follow each other without a gap, and each of them keeps its row.
+    upto = F.greatest(F.col("_stop") - minute, F.when(F.col("_anchor"), F.col("_from") - minute).otherwise(t))
+    minutes = F.when(F.col("_from") <= upto, F.sequence("_from", upto, minute))
+    values = [c for c in candles.columns if c not in ("symbol", "open_time")]
+    full = spans.select("symbol", *values, t.alias("_at"), "_anchor", F.explode(minutes).alias("open_time"))
+    own = (F.col("_at") == t) & ~F.col("_anchor")
+    return full.select("symbol", "open_time", *[F.when(own, F.col(c)).alias(c) for c in values])
 
 
 def vwap_rates(candles: DataFrame, order: str = "position") -> DataFrame:
