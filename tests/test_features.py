@@ -10,6 +10,7 @@ from tickspark.operators.features import (
     FeatureWindows,
     event_features,
     features_from_orders,
+    moments,
     prior_event_count,
     roll_up,
     segment_partials,
@@ -233,3 +234,23 @@ def test_prior_events_of_one_time_and_none(spark, at):
     # The candidates are read once and sorted into no window.
     plan = counted._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("currency_pair#") and "Union" not in plan
+
+
+def test_events_of_one_time_share_their_features(spark, at):
+    """Each event has the rows it has alone, its own prior events included; a shared time is computed once."""
+    ticks = spark.createDataFrame(
+        [
+            (i, f"{s}-BTC", at(f"2021-01-01 {6 + i % 4:02d}:{(i * 7) % 60:02d}:00"), 10.0 + i % 5, 1.0 + i % 3, i % 2 == 0)
+            for i, s in enumerate("ABCABCABDABCABCABD")
+        ],
+        "trade_id BIGINT, symbol STRING, trade_time TIMESTAMP_NTZ, price DOUBLE, quantity DOUBLE, is_buyer_maker BOOLEAN",
+    )
+    rows = [("E1", "A-BTC", at("2021-01-01 10:00:00")), ("E2", "B-BTC", at("2021-01-01 10:00:00")), ("E3", "A-BTC", at("2021-01-01 11:30:00"))]
+    schema = "pump_hash STRING, pumped_currency_pair STRING, pump_time TIMESTAMP_NTZ"
+    events = spark.createDataFrame([*rows, ("E4", "A-BTC", None)], schema)
+    windows = FeatureWindows(offsets={"1H": timedelta(hours=1), "2H": timedelta(hours=2)}, decays={"1H": timedelta(hours=1)})
+    assert moments(events).count() == 2
+    found = event_features(ticks, events, windows)
+    alone = [event_features(ticks, spark.createDataFrame([row], schema), windows, labels=events) for row in rows]
+    want = sorted((r for one in alone for r in one.collect()), key=str)
+    assert len(want) == 12 and sorted(found.collect(), key=str) == want
