@@ -73,6 +73,14 @@ def test_repeats(spark, documents, rows, most):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == want
 
 
+def test_neighbouring_repeats_travel_as_one_run(spark):
+    """A repeated passage of many windows is one row of the shard's result."""
+    assert substring.runs_of([0, 1, 2, 5, 7, 8]) == [(0, 3), (5, 1), (7, 2)] and substring.runs_of([]) == []
+    rows = [(1, 0, 7, 0, list(range(40))), (1, 1, 8, 3, [-1, *range(40), -2])]
+    shards = spark.createDataFrame(rows, "anchor long, doc_id long, fp_a long, start long, words array<long>")
+    assert [tuple(r) for r in substring._stream(shards, 20).collect()] == [(1, 8, 4, 21)]
+
+
 @pytest.mark.parametrize("width", [3, 5, 9])
 def test_automaton_finds_earlier_windows(width):
     rng = random.Random(width)

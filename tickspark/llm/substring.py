@@ -182,7 +182,12 @@ def _words_at(docs: DataFrame, wanted: DataFrame, width: int, few: bool = False)
         F.collect_list(F.struct("anchor", "start", "windows")).alias("cuts")  # bounded by one document
     )
     # passages of hot anchors are often in few documents, and then need no second shuffle of all texts
-    cuts = with_size_check(per_doc, "substring-cuts", 50_000) if few else per_doc
+    if few:
+        cuts = with_size_check(per_doc, "substring-cuts", 50_000)
+    else:  # texts without such passages stay where they are
+        cuts, with_cuts = per_doc, with_size_check(wanted.select("doc_id", "fp_a").distinct(), "substring-docs", 3_000_000)
+        asked = docs["doc_id"].eqNullSafe(with_cuts["doc_id"]) & (docs["fp_a"] == with_cuts["fp_a"])
+        docs = docs.join(with_cuts, asked, "left_semi")
     same = docs["doc_id"].eqNullSafe(cuts["doc_id"]) & (docs["fp_a"] == cuts["fp_a"])
     joined = docs.join(cuts, same).select(docs["doc_id"], docs["fp_a"], "text", "cuts")
 
@@ -212,7 +217,7 @@ def _words_at(docs: DataFrame, wanted: DataFrame, width: int, few: bool = False)
 
 
 def _stream(shards: DataFrame, width: int) -> DataFrame:
-    """Windows of the shards' segments that repeat earlier ones: doc_id, fp_a, start, windows (1)."""
+    """Windows of the shards' segments that repeat earlier ones, as runs: doc_id, fp_a, start, windows."""
     dealt = shards.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "fp_a", "start")
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,17 +239,26 @@ def _stream(shards: DataFrame, width: int) -> DataFrame:
         if len(held) < 2 and not (held and len(set(held[0][3])) < len(held[0][3])):
             return []
         found = repeats_in_order([h[3] for h in held], width)
-        return [(h[0], h[1], h[2] + i) for h, starts in zip(held, found, strict=True) for i in starts]
+        return [(h[0], h[1], h[2] + i, n) for h, starts in zip(held, found, strict=True) for i, n in runs_of(starts)]
 
     def rows_of(out: list[tuple]) -> pa.RecordBatch:
         cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [*cols, pa.array(np.ones(len(out), np.int64))], names=["doc_id", "fp_a", "start", "windows"]
-        )
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp_a", "start", "windows"])
 
     return dealt.mapInArrow(streamed, "doc_id long, fp_a long, start long, windows long")
 
 
+def runs_of(starts: list[int]) -> list[tuple[int, int]]:
+    """Ascending starts as (first, number) of their runs of neighbours."""
+    runs: list[tuple[int, int]] = []
+    for i in starts:
+        if runs and i == sum(runs[-1]):
+            runs[-1] = (runs[-1][0], runs[-1][1] + 1)
+        else:
+            runs.append((i, 1))
+    return runs
+
+
 def _cut_again(segments: DataFrame, width: int, anchor: int, level: int) -> DataFrame:
     """Segments of an anchor with many distinct ones, cut by a second anchor that is chosen in another order. The
     last level cuts to single windows, whose anchor is the window itself."""
