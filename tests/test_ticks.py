@@ -195,6 +195,24 @@ def test_minute_grid_shuffles_candles_only(spark, at):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_small_archives_are_parsed_together(spark):
+    """Rows keep their archive, also with an empty file, one without a last line end and one with blank lines."""
+    texts = {"A": "1,1.5,2,3,10,True,True\n2,1,2,2,11,False,True", "B": "", "C": "3,1.25,2,2.5,12,True,True\n\n4,7,1,7,13,False,True\n"}
+
+    def zipped(text):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as archive:
+            archive.writestr("t.csv", text)
+        return buffer.getvalue()
+
+    want = {("A", 1, 1.5, 10, True), ("A", 2, 1.0, 11, False), ("C", 3, 1.25, 12, True), ("C", 4, 7.0, 13, False)}
+    for chosen in ("AB", "ABC", "B"):
+        rows = [(f"/raw/{s}/trades@2024-01-01.zip", bytearray(zipped(texts[s]))) for s in chosen]
+        files = spark.createDataFrame(rows, "path STRING, content BINARY").coalesce(1)
+        got = tick_source.parse_archives(files).collect()
+        assert {(r.path[5], r.trade_id, r.price, r.raw_time, r.is_buyer_maker) for r in got} == {w for w in want if w[0] in chosen}
+
+
 # --- Bucketed operators against brute force ------------------------------------------------------------
 
 

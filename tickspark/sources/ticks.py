@@ -26,6 +26,8 @@ RAW_SCHEMA = T.StructType(
 )
 STORED_COLUMNS = ["trade_id", "price", "quantity", "trade_time", "is_buyer_maker"]
 _CHUNK_ROWS = 1_000_000
+#: Unzipped files up to this size are parsed together until they reach it.
+_SMALL_BYTES = 4 << 20
 _NAME = r"([^/]+)/[^/]*@(\d{4}-\d{2}-\d{2})\.zip$"
 
 
@@ -49,29 +51,43 @@ def archives_between(files: DataFrame, start: datetime, end: datetime) -> DataFr
 def parse_archives(archives: DataFrame, names: Sequence[str] = tuple(SPOT_TRADE_COLUMNS)) -> DataFrame:
     """Unzip headerless CSV archives (``path``, ``content``) into raw fills.
 
-    Spark's CSV reader cannot open zip files, so each archive is unzipped in the task that reads it
-    and parsed in chunks, which bounds a task's memory by one compressed archive plus one chunk.
+    Spark's CSV reader cannot open zip files, so each archive is unzipped in the task that reads it. Small files are
+    parsed many at a time, large ones in chunks, which bounds a task's memory by one compressed archive plus one chunk.
     """
     wanted = ["trade_id", "price", "quantity", "trade_time", "is_buyer_maker"]
-    names = list(names)
+    options = {"header": None, "names": list(names), "usecols": wanted, "float_precision": "round_trip"}
+
+    def raw(rows: pd.DataFrame, path) -> pd.DataFrame:
+        return rows.rename(columns={"trade_time": "raw_time"}).assign(path=path)[RAW_SCHEMA.names]
+
+    def together(held: list[tuple[str, bytes]]) -> Iterator[pd.DataFrame]:
+        held = [(path, text if text.endswith(b"\n") else text + b"\n") for path, text in held if text.strip()]
+        if not held:
+            return
+        counts = [text.count(b"\n") for _, text in held]
+        rows = pd.read_csv(io.BytesIO(b"".join(text for _, text in held)), **options)
+        if len(rows) == sum(counts):
+            yield raw(rows, [path for (path, _), n in zip(held, counts) for _ in range(n)])
+        else:  # blank lines: rows can't be counted ahead
+            yield from (raw(pd.read_csv(io.BytesIO(text), **options), path) for path, text in held)
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in archive.namelist():
+                    for member in archive.infolist():
+                        if member.file_size <= _SMALL_BYTES:
+                            held.append((path, archive.read(member)))
+                            size += member.file_size
+                            if size > _SMALL_BYTES:
+                                yield from together(held)
+                                held, size = [], 0
+                            continue
                         with archive.open(member) as stream:
-                            chunks = pd.read_csv(
-                                stream,
-                                header=None,
-                                names=names,
-                                usecols=wanted,
-                                chunksize=_CHUNK_ROWS,
-                                float_precision="round_trip",
-                            )
-                            for chunk in chunks:
-                                chunk = chunk.rename(columns={"trade_time": "raw_time"}).assign(path=path)
-                                yield chunk[RAW_SCHEMA.names]
+                            for chunk in pd.read_csv(stream, chunksize=_CHUNK_ROWS, **options):
+                                yield raw(chunk, path)
+        yield from together(held)
 
     return archives.select("path", "content").mapInPandas(unzip, RAW_SCHEMA)
 
