@@ -230,6 +230,21 @@ def test_search_of_empty_tables(spark, documents):
     assert lexical.search(documents(["a b"] * 3, [1, 1, 1]), items).count() == 3
 
 
+def test_search_stores_postings_and_no_lists_of_a_document(spark, documents, monkeypatch):
+    """A document's terms once for each of its terms were more than four times the input."""
+    stored, keep = {}, lexical.materialise
+    monkeypatch.setattr(lexical, "materialise", lambda df, name: stored.setdefault(name, keep(df, name)))
+    items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    assert lexical.search(documents(["a b c", "b c d", "x"]), items).count() == 2
+    assert stored and not [n for n, df in stored.items() if any("array" in t for _, t in df.dtypes)]
+
+
+def test_folded_bytes_hold_the_terms():
+    text = "".join(map(chr, [*range(0x250), 0x3A9, 0x2028, 0x3000, 0x1F600])) * 2
+    plain = re.findall(lexical.TERM, lower(text))
+    assert [w.decode() for w in text.encode().translate(lexical.FOLD).split()] == plain
+
+
 def test_forest_keeps_links_and_components():
     def roots(links):
         of = {}
