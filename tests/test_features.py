@@ -1,4 +1,5 @@
 import math
+import re
 from datetime import timedelta
 
 import pytest
@@ -207,6 +208,17 @@ def test_feature_pieces_are_summed_where_they_are_made(spark, at):
     assert "HashAggregate" in above and "Exchange" not in above
 
 
+def test_hours_are_not_shuffled_by_symbol_alone(spark, at):
+    """The hour before is looked up where the hours meet the events, and no symbol's whole history lies in one task."""
+    ticks = spark.createDataFrame(
+        [(1, "AAA-BTC", at("2021-01-01 08:00:00"), 10.0, 2.0, False)],
+        "trade_id BIGINT, symbol STRING, trade_time TIMESTAMP_NTZ, price DOUBLE, quantity DOUBLE, is_buyer_maker BOOLEAN",
+    )
+    pieces = slice_pieces(hourly_orders(ticks), event_frame(spark, at), FeatureWindows())
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"hashpartitioning\(symbol#\d+, \d+\)", plan)
+
+
 def test_return_without_a_level_is_nan(spark, at):
     """0/0 is NaN in returns and in the spread of bars, as in their SQL."""
     price = {"07:10:00": 0.0, "08:10:00": 0.0, "08:20:00": 0.0, "08:30:00": 0.0}
