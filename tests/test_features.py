@@ -219,6 +219,20 @@ def test_hours_are_not_shuffled_by_symbol_alone(spark, at):
     assert not re.findall(r"hashpartitioning\(symbol#\d+, \d+\)", plan)
 
 
+def test_events_are_not_gathered_once_for_each_share_or_bound(spark, at):
+    """Exploded events meet the hours by shuffle, and edge hours as ids alone: neither is a broadcast that grows with both."""
+    ticks = spark.createDataFrame(
+        [(1, "AAA-BTC", at("2021-01-01 08:00:00"), 10.0, 2.0, False)],
+        "trade_id BIGINT, symbol STRING, trade_time TIMESTAMP_NTZ, price DOUBLE, quantity DOUBLE, is_buyer_maker BOOLEAN",
+    )
+    pieces = slice_pieces(hourly_orders(ticks), event_frame(spark, at), FeatureWindows())
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[period#\d+, share#\d+\]", plan)
+    assert not re.findall(r"BroadcastHashJoin \[period#|BroadcastHashJoin \[hour#\d+, _salt", plan)
+    # The sums of edge hours are shuffled to their period and share only.
+    assert not re.findall(r"Exchange hashpartitioning\(period#\d+, share#\d+, pump_hash", plan)
+
+
 def test_return_without_a_level_is_nan(spark, at):
     """0/0 is NaN in returns and in the spread of bars, as in their SQL."""
     price = {"07:10:00": 0.0, "08:10:00": 0.0, "08:20:00": 0.0, "08:30:00": 0.0}
