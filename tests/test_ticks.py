@@ -282,3 +282,17 @@ def test_active_symbols_are_made_distinct_before_they_meet_the_events(spark, at)
     assert sorted((r.pump_hash, r.symbol) for r in active.collect()) == want
     plan = active._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Aggregate \[pump_hash#\d+, symbol#\d+\]", plan)
+
+
+def test_universe_sizes_are_counted_once_for_each_set_of_dates(spark, at):
+    import re
+
+    ticks = spark.createDataFrame([("A-BTC", "2024-01-01"), ("B-BTC", "2024-01-02"), ("B-BTC", "2024-01-01"), ("C-BTC", "2024-01-04")], "symbol STRING, date STRING")
+    marks = [("x", "2024-01-01 01:00:00"), ("y", "2024-01-01 02:00:00"), ("y", "2024-01-04 02:00:00"), ("z", "2024-01-09 00:00:00")]
+    marked = spark.createDataFrame([(h, at(t)) for h, t in marks], "pump_hash STRING, pump_time TIMESTAMP_NTZ")
+    sizes = tick_source.universe_sizes(ticks.withColumn("date", F.to_date("date")), marked, F.col("pump_time"), F.col("pump_time"))
+    assert sorted(map(tuple, sizes.collect())) == [("x", 2, "A-BTC", "B-BTC"), ("y", 3, "A-BTC", "C-BTC")]
+    plan = sizes._jdf.queryExecution().optimizedPlan().toString()
+    # Symbols are counted by dates; no row of an event and a symbol is made or sorted.
+    assert re.search(r"Aggregate \[dates#\d+\], \[dates#\d+, count", plan)
+    assert not re.search(r"Aggregate \[pump_hash#\d+\], \[pump_hash#\d+, count", plan)

@@ -166,8 +166,10 @@ def price_series(ticks: DataFrame, symbol: str | Sequence[str], start: datetime,
     return trades_between(ticks, symbol, start, end).select("symbol", "trade_time", "price", "trade_id")
 
 
-def active_symbols(ticks: DataFrame, events: DataFrame, start: Column, end: Column, quote_asset: str | None = "BTC") -> DataFrame:
-    """Symbols with data on any date of each event's interval, limited to pairs quoted in ``quote_asset``.
+def _symbols_by_dates(
+    ticks: DataFrame, events: DataFrame, start: Column, end: Column, quote_asset: str | None
+) -> tuple[DataFrame, DataFrame]:
+    """The distinct symbols of each set of dates, and the set of dates of each event.
 
     (date, symbol) pairs are deduplicated before they meet the events, so fills are reduced where
     they are read; on a store partitioned by both columns only directory names are read. Symbols are made distinct
@@ -180,10 +182,27 @@ def active_symbols(ticks: DataFrame, events: DataFrame, start: Column, end: Colu
     dated = events.select("pump_hash", F.explode(days).alias("date")).groupBy("pump_hash")
     dated = dated.agg(F.sort_array(F.collect_set("date")).alias("dates"))
     spans = dated.select("dates").distinct()
-    seen = spans.withColumn("date", F.explode("dates")).join(pairs, "date").select("dates", "symbol").distinct()
+    return spans.withColumn("date", F.explode("dates")).join(pairs, "date").select("dates", "symbol").distinct(), dated
+
+
+def active_symbols(ticks: DataFrame, events: DataFrame, start: Column, end: Column, quote_asset: str | None = "BTC") -> DataFrame:
+    """Symbols with data on any date of each event's interval, limited to pairs quoted in ``quote_asset``."""
+    seen, dated = _symbols_by_dates(ticks, events, start, end, quote_asset)
     return seen.join(dated, "dates").select("pump_hash", "symbol")
 
 
+def universe_sizes(ticks: DataFrame, events: DataFrame, start: Column, end: Column, quote_asset: str | None = "BTC") -> DataFrame:
+    """Number, first and last of each event's :func:`active_symbols`, without a row for each of them.
+
+    Events of the same dates have the same symbols, so these are counted once for each set of dates.
+    """
+    seen, dated = _symbols_by_dates(ticks, events, start, end, quote_asset)
+    counted = seen.groupBy("dates").agg(
+        F.count("*").alias("symbols"), F.min("symbol").alias("first_symbol"), F.max("symbol").alias("last_symbol")
+    )
+    return counted.join(dated, "dates").select("pump_hash", "symbols", "first_symbol", "last_symbol")
+
+
 def first_date(ticks: DataFrame) -> DataFrame:
     """Earliest stored date."""
     return ticks.agg(F.min("date").alias("first_date"))
