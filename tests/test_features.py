@@ -144,6 +144,27 @@ def test_medians_percentile_rank_and_failed_events(spark):
         pn.check_columns(df, ["absent"])
 
 
+def test_group_values_meet_the_panel_where_it_lies(spark, tmp_path):
+    """Statistics, kept groups and value counts are stored: the panel's rows are shuffled for none of them but the rank."""
+    from tickspark.operators.running import range_bucket
+
+    rows = [(f"g{i % 3}", f"s{i}", i % 7 == 0 and i < 20, float(i % 5), float(i)) for i in range(60)]
+    spark.createDataFrame(rows, "pump_hash STRING, currency_pair STRING, is_pumped BOOLEAN, v DOUBLE, x DOUBLE").write.parquet(f"{tmp_path}/panel")
+    panel = spark.read.parquet(f"{tmp_path}/panel")
+    for out in (pn.standardise(panel, ["x"]), pn.remove_failed_events(panel, "v", 40)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    ranked = pn.percentile_rank(panel, "v", "rank")
+    assert ranked._jdf.queryExecution().optimizedPlan().toString().count("currency_pair#") and len(
+        re.findall(r"Relation \[pump_hash#\d+,currency_pair#", ranked._jdf.queryExecution().optimizedPlan().toString())
+    ) == 1
+    bounded = spark.createDataFrame([(v,) for v in [*map(float, range(100)), 7.0, 7.0, None, math.nan]], "v DOUBLE")
+    found = {str(r.v): r["_bucket"] for r in range_bucket(bounded, "v", buckets=8).collect()}
+    bounds = bounded.agg(F.percentile_approx("v", [i / 8 for i in range(1, 8)], F.lit(80))).first()[0]
+    assert found["None"] == 0 and found["nan"] == 7
+    assert all(found[str(float(v))] == sum(b < v for b in bounds) for v in range(100))
+
+
 def test_group_sample_keeps_whole_groups(spark):
     rows = [(f"g{g}", g * 3 + i) for g in range(6) for i in range(3)]
     df = spark.createDataFrame(rows, "pump_hash STRING, v BIGINT")
